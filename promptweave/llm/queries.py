@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from .decontamination import op1_benchmark_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .language_id import op7_language_id
+from .pii import op10_pii
 from .sentencepieces import op6_sentencepiece
 from .simhash import op3_simhash_near_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op6_sentencepiece, op8_exact_dedup, op9_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_substring_dedup,
+        op3_simhash_near_dedup,
+        op6_sentencepiece,
+        op7_language_id,
+        op8_exact_dedup,
+        op9_toxicity,
+        op10_pii,
+    )
+}
 
 ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
