@@ -6,10 +6,12 @@ from .decontamination import op1_benchmark_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op7_language_id
 from .pii import op10_pii
+from .secrets import OP5_SQL, op5_secret_scans
 from .sentencepieces import op6_sentencepiece
 from .simhash import op3_simhash_near_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op9_toxicity
+from .url_filters import OP4_SQL, op4_url_filters
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +19,8 @@ QUERIES = {
         op1_benchmark_decontamination,
         op2_substring_dedup,
         op3_simhash_near_dedup,
+        op4_url_filters,
+        op5_secret_scans,
         op6_sentencepiece,
         op7_language_id,
         op8_exact_dedup,
@@ -25,4 +29,9 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {
+    "op2_substring_dedup": OP2_SQL,
+    "op4_url_filters": OP4_SQL,
+    "op5_secret_scans": OP5_SQL,
+    "op8_exact_dedup": OP8_SQL,
+}
