@@ -263,23 +263,18 @@ def _encode_small(shared, kind: str, with_ids: bool):
     return run
 
 
-_CHUNKS = "doc_id long, mark string, copies long, no int, of int, before string, body string, after string"
+_CHUNKS = "key string, doc_id long, no int, before string, body string, after string"
+_CHUNK_SCHEMA = pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("no", pa.int32()), ("before", pa.string()), ("body", pa.string()), ("after", pa.string())])
 
 
 def _cut_batches(longest: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                text = SPACE + row["text"].replace(" ", SPACE)
-                mark = hashlib.md5(row["text"].encode()).hexdigest()
-                at = range(0, len(text), chunk)
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {"doc_id": row["doc_id"], "mark": mark, "copies": row["copies"], "no": k, "of": len(at), "before": text[max(0, i - longest) : i], "body": text[i : i + chunk], "after": text[i + chunk : i + chunk + longest]}
-                        for k, i in enumerate(at)
-                    ],
-                    pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("copies", pa.int64()), ("no", pa.int32()), ("of", pa.int32()), ("before", pa.string()), ("body", pa.string()), ("after", pa.string())]),
-                )
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                text = SPACE + raw.replace(" ", SPACE)
+                key = f"{doc_id} {hashlib.md5(raw.encode()).hexdigest()}"
+                rows = [(key, doc_id, k, text[max(0, i - longest) : i], text[i : i + chunk], text[i + chunk : i + chunk + longest]) for k, i in enumerate(range(0, len(text), chunk))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA)
 
     return run
 
@@ -289,41 +284,57 @@ def _matrix_batches(shared, kind: str):
         model = Model(shared.value, kind)
         for batch in batches:
             found = [json.dumps([[list(s), [[*t, w] for t, w in to.items()]] for s, to in transfer(model, r["before"], r["body"], r["after"]).items()]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "no")), pa.array(found, pa.string())], ["doc_id", "mark", "no", "matrix"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, pa.string())], ["key", "no", "matrix"])
 
     return run
 
 
 def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("no")
+    rows = rows.drop_duplicates("no").sort_values("no")  # a document in the table twice has its chunks twice
     states = border_states([{tuple(s): {(t, e): w for t, e, w in to} for s, to in json.loads(m)} for m in rows["matrix"]])
-    pairs = [json.dumps([a, b]) for a, b in zip(states, states[1:])]
-    return pd.DataFrame({"doc_id": rows["doc_id"].values, "mark": rows["mark"].values, "no": rows["no"].values, "ends": pairs})
+    return pd.DataFrame({"at": rows["key"].values, "nth": rows["no"].values, "ends": [json.dumps([a, b]) for a, b in zip(states, states[1:])]})
+
+
+_PARTS = "key string, doc_id long, no int, n_chars int, whole boolean, packed binary"
 
 
 def _trace_batches(shared, kind: str):
+    """Ids of each chunk, packed, and whether they spell out the chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value, kind)
         for batch in batches:
-            packed = []
+            packed, whole = [], []
             for r in batch.to_pylist():
                 start, goal = (tuple(x) for x in json.loads(r["ends"]))
-                packed.append(backtrace(model, r["before"], r["body"], r["after"], start, goal))
-            keep = [batch.column(c) for c in ("doc_id", "mark", "copies", "no", "of", "body")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(packed, pa.list_(pa.int32()))], ["doc_id", "mark", "copies", "no", "of", "body", "ids"])
+                ids = backtrace(model, r["before"], r["body"], r["after"], start, goal)
+                packed.append(_pack(ids))
+                span = (r["body"] + r["after"])[start[1] : len(r["body"]) + goal[1]]
+                # A sign before the span keeps decode() from taking its first blank for the one before the text.
+                whole.append(model.lib.decode([model.bytes[ord("x")], *ids]) == "x" + span.replace(SPACE, " "))
+            n = pa.array([len(x) for x in batch.column("body").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "no")), n, pa.array(whole), pa.array(packed, pa.binary())], ["key", "doc_id", "no", "n_chars", "whole", "packed"])
 
     return run
 
 
-def _join_batches(shared, kind: str, with_ids: bool):
+def _join_batches(with_ids: bool):
+    """Ids of the chunks of each document one after the other; a row for each time the document is in the table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, kind)
         for batch in batches:
-            rows = batch.to_pylist()
-            texts = ["".join(p["body"] for p in r["parts"])[1:].replace(SPACE, " ") for r in rows]
-            ids = [[i for p in r["parts"] for i in p["ids"]] for r in rows]
-            back = [model.lib.decode(x) for x in ids]
-            yield _columns(batch.column("doc_id"), texts, ids, back, with_ids)
+            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), batch.column("parts").to_pylist()):
+                copies = sum(p["no"] == 0 for p in parts)
+                parts = list({p["no"]: p for p in parts}.values())
+                packed = b"".join(p["packed"] for p in parts)
+                ids = np.frombuffer(packed, "<i4")
+                cols = [[doc_id], [sum(p["n_chars"] for p in parts) - 1], [len(ids)], [hashlib.sha256(packed).hexdigest()], [all(p["whole"] for p in parts)]]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+                names = ["doc_id", "n_chars", "n_tokens", "ids_sha256", "round_trip"]
+                if with_ids:
+                    cols, kinds, names = [*cols, [ids.tolist()]], [*kinds, pa.list_(pa.int32())], [*names, "ids"]
+                for _ in range(copies):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return run
 
@@ -347,16 +358,13 @@ def encoded(docs: DataFrame, model_path: str = MODEL_PATH, kind: str = "bpe", ch
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = F.length("text") <= (chunk if kind == "bpe" else 0)
     small = rows.filter(whole).mapInArrow(_encode_small(shared, kind, with_ids), _schema(with_ids))
-    giant = rows.filter(~whole).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    chunks = giant.mapInArrow(_cut_batches(longest, chunk), _CHUNKS).repartition("doc_id", "mark", "no")
-    matrices = chunks.mapInArrow(_matrix_batches(shared, kind), "doc_id long, mark string, no int, matrix string")
-    ends = matrices.groupBy("doc_id", "mark").applyInPandas(_resolve, "doc_id long, mark string, no int, ends string")
-    ends = ends.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("no").alias("k"), "ends")
-    told = chunks.join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("no") == F.col("k"))).drop("d", "m", "k")
-    traced = told.mapInArrow(_trace_batches(shared, kind), "doc_id long, mark string, copies long, no int, of int, body string, ids array<int>")
-    parts = traced.groupBy("doc_id", "mark", "copies").agg(F.array_sort(F.collect_list(F.struct("no", "body", "ids"))).alias("parts"))
-    parts = parts.select("doc_id", "parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
-    joined = parts.mapInArrow(_join_batches(shared, kind, with_ids), _schema(with_ids))
+    chunks = rows.filter(~whole).mapInArrow(_cut_batches(longest, chunk), _CHUNKS).repartition("key", "no")
+    matrices = chunks.mapInArrow(_matrix_batches(shared, kind), "key string, no int, matrix string")
+    ends = matrices.groupBy("key").applyInPandas(_resolve, "at string, nth int, ends string")
+    told = chunks.join(ends, (F.col("key") == F.col("at")) & (F.col("no") == F.col("nth")))
+    parts = told.mapInArrow(_trace_batches(shared, kind), _PARTS)
+    parts = parts.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "n_chars", "whole", "packed"))).alias("parts"))
+    joined = parts.mapInArrow(_join_batches(with_ids), _schema(with_ids))
     return small.unionByName(joined)
 
 
