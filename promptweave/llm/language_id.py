@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,12 +36,36 @@ def words_of(text: str | None) -> list[str]:
     return found if (text or "").isascii() else [w for w in found if w.isascii() or any(map(str.isalpha, w))]
 
 
-def features(word: str) -> list[int]:
-    """Hashes of a word's affixes and of its letter n-grams, its edges marked."""
-    marked = f"^{word}$"
-    names = [f"p{word[:n]}" for n in range(1, min(4, len(word)) + 1)] + [f"s{word[-n:]}" for n in range(1, min(4, len(word)) + 1)]
-    names += [f"g{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for x in names]
+def _gram(points: np.ndarray, at: np.ndarray, n: int, kind: int) -> np.ndarray:
+    """Hash of the n characters from each place on; kinds do not mix."""
+    h = np.full(len(at), 0x9E3779B97F4A7C15 + 2 * kind, np.uint64)
+    for k in range(n):
+        h = (h ^ points[at + k]) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(29)
+    return (h & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, feature) of the words' affixes of one to four letters and of their letter n-grams of two and
+    three, edges marked; sorted by word."""
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words])
+    end = np.cumsum(size)
+    start = end - size
+    owner = np.repeat(np.arange(len(words)), size)
+    room = np.repeat(end, size) - np.arange(len(points))
+    owners, found = [], []
+    for n in (2, 3):
+        at = np.flatnonzero(room >= n)
+        owners.append(owner[at])
+        found.append(_gram(points, at, n, n))
+    for n in range(1, 5):
+        on = np.flatnonzero(size >= n + 2)
+        owners += [on, on]
+        found += [_gram(points, start[on] + 1, n, 10 + n), _gram(points, end[on] - 1 - n, n, 20 + n)]
+    owners, found = np.concatenate(owners), np.concatenate(found)
+    order = np.argsort(owners, kind="stable")
+    return owners[order], found[order]
 
 
 @dataclass
@@ -55,12 +78,19 @@ class Field:
     weights: np.ndarray  # hashed features, then one row per lexicon
     transitions: np.ndarray  # [from, to]
 
-    def rows_of(self, word: str) -> list[int]:
-        return features(word) + [(1 << HASH_BITS) + k for k, lexicon in enumerate(self.lexicons) if word in lexicon]
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed features, and for each lexicon that holds a word its own."""
+        owners, found = features(words)
+        listed = [(i, (1 << HASH_BITS) + k) for k, lexicon in enumerate(self.lexicons) for i, w in enumerate(words) if w in lexicon]
+        more = np.array(listed, np.int64).reshape(-1, 2)
+        owners, found = np.concatenate((owners, more[:, 0])), np.concatenate((found, more[:, 1]))
+        order = np.argsort(owners, kind="stable")
+        return owners[order], found[order]
 
-    def emission(self, word: str) -> np.ndarray:
-        z = self.weights[self.rows_of(word)].sum(axis=0)
-        return np.exp(z - z.max())
+    def emissions(self, words: list[str]) -> np.ndarray:
+        owners, found = self.features(words)
+        z = np.stack([np.bincount(owners, self.weights[found, k], minlength=len(words)) for k in range(len(self.labels))], axis=1)
+        return np.exp(z - z.max(axis=1, keepdims=True))
 
 
 def forward_backward(e: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -127,11 +157,9 @@ def fit_field(sample: list[tuple[str, list[str]]]) -> Field:
     field = Field(labels, lexicons, np.zeros(((1 << HASH_BITS) + k, k)), np.zeros((k, k)))
     if k < 2:
         return field
-    rows: dict[str, np.ndarray] = {}
-    for _, run in sample:
-        for w in run:
-            if w not in rows:
-                rows[w] = np.array(field.rows_of(w))
+    words = sorted({w for _, run in sample for w in run})
+    owners, found = field.features(words)
+    rows = dict(zip(words, np.split(found, np.searchsorted(owners, np.arange(1, len(words))))))
     rng = np.random.default_rng(11)
     sums_w, sums_t = np.full_like(field.weights, 1e-6), np.full_like(field.transitions, 1e-6)
     for _ in range(EPOCHS):
@@ -195,22 +223,26 @@ def _label_batches(shared):
         field: Field = shared.value
         a, k = np.exp(field.transitions), len(field.labels)
         known: dict[str, int] = {}
-        table: list[np.ndarray] = []
+        table = np.empty((0, k))
 
         def shares(texts: list[list[str]]) -> np.ndarray:
+            nonlocal table
             if len(known) > _CACHE:
                 known.clear()
-                table.clear()
+                table = np.empty((0, k))
+            fresh = []
             codes = []
             for words in texts:
                 for w in words:
                     c = known.get(w)
                     if c is None:
-                        c = known[w] = len(table)
-                        table.append(field.emission(w))
+                        c = known[w] = len(table) + len(fresh)
+                        fresh.append(w)
                     codes.append(c)
+            if fresh:
+                table = np.concatenate((table, field.emissions(fresh)))
             lengths = np.array([len(t) for t in texts])
-            p = forward_backward(np.array(table)[codes], lengths, a)
+            p = forward_backward(table[codes], lengths, a)
             return np.add.reduceat(p, np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0) / lengths[:, None]
 
         for batch in batches:
