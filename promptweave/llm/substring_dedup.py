@@ -190,11 +190,12 @@ def _keep_batches(keep_text: bool):
 
 def _repeated(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """rows: all paths.  Spans (doc_id, s, e) of words under windows that start in a smaller doc_id as well."""
-    # Minimizers of two documents or more; all others are done with.
+    # Minimizers of two documents or more; all others are done with.  Aggregates are written before they are joined:
+    # then both sides of each join come straight from a shuffle, and Spark splits a hot key's partition.
     shared = rows.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
-    met = saved(rows.join(shared, "mark"), "paths")
-    sources = met.groupBy("mark", "content").agg(F.min("doc_id").alias("source"))
-    branches = sources.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    met = saved(rows.join(saved(shared, "shared"), "mark"), "paths")
+    sources = saved(met.groupBy("mark", "content").agg(F.min("doc_id").alias("source")), "sources")
+    branches = saved(sources.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"), "branches")
     told = met.join(sources, ["mark", "content"])
     whole = told.filter("source < doc_id").select("doc_id", F.col("first").alias("s"), (F.col("last") + window).alias("e"))
     # The first document of a path may share some of the path's edges with others at a branch: take it apart.
@@ -203,7 +204,7 @@ def _repeated(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     edges = texts.join(parts, F.col("doc_id") == F.col("id"), "left").filter("at is not null").select("doc_id", "text", "at")
     edges = saved(edges.mapInArrow(_edge_batches(window), "mark long, content long, doc_id long, first int"), "edges")
     first_of = edges.groupBy("mark", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).filter("source < high").select("mark", "content", "source")
-    single = edges.join(first_of, ["mark", "content"]).filter("source < doc_id")
+    single = edges.join(saved(first_of, "first-edges"), ["mark", "content"]).filter("source < doc_id")
     return whole.unionByName(single.select("doc_id", F.col("first").alias("s"), (F.col("first") + window).alias("e")))
 
 
