@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptweave.functions import blocks as B
@@ -124,7 +124,7 @@ def split(entries: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
     own = F.struct(F.lit(0).alias("side"), F.col("content").alias("content"), F.col("comment").alias("comment"))
     splits = F.coalesce((F.size("_still") > 0) & (F.size("_moving") > 0), F.lit(False))
     out = F.when(splits, F.array(child(0, "_still", P.SPLIT_STATIC), child(1, "_moving", P.SPLIT_DYNAMIC))).otherwise(F.array(own))
-    rows = rows.withColumn("_child", F.explode(out)).withColumns({"content": F.col("_child.content"), "comment": F.col("_child.comment")})
+    rows = rows.withColumn("_child", F.explode_outer(out)).withColumns({"content": F.col("_child.content"), "comment": F.col("_child.comment")})
     rows = E.ranked(rows, [F.col("seq"), F.col("_child.side")])
     at = F.col("rn")
     extra = [c for c in ANALYSIS if c in rows.columns]
@@ -138,32 +138,15 @@ def reorder(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME) -> DataFrame
     """Stable text first: copies of boundaries around dynamic passages, a wrapper around all that moves, the six-key
     sort, pruning, renumbering and the field rules.
 
-    All steps partition by book_id; Spark keeps that partitioning from window to window.
+    One shuffle by book_id serves every window of the step; no joins.
     """
-    rows = E.complete(entries)
-    pairs = D.boundary_pairs(rows)
-    copies = D.boundary_copies(rows, pairs)
-    flags = {"_copy_row": F.lit(False), "_supp": F.lit(False), "_pair": F.lit(None).cast("bigint"), "_batch": F.lit(0), "_tie": F.col("seq")}
-    originals = rows.withColumns(flags)
-    copied = copies.withColumns({"_copy_row": F.lit(True), "_supp": F.lit(False), "_batch": F.lit(1), "_tie": F.col("_pair") * 2 + F.col("_side")}).drop("_copy", "_suffix", "_side")
-    # A copy is static or not as the entry it is made from; its own text says nothing of it.
-    still = T.is_static(F.col("content"))
-    wrappers = D.supplements(rows, wrapper_name)
-    wrappers = wrappers.withColumns(
-        {
-            "_copy_row": F.lit(False), "_supp": F.lit(True), "_pair": F.lit(None).cast("bigint"), "_batch": F.lit(2), "_tie": F.col("side").cast("bigint"),
-            "seq": F.lit(0).cast("bigint"), "ord": F.lit(0).cast("bigint"), "position": F.lit(4), "depth": F.lit(0), "role": F.lit(1),
-            "constant": F.lit(False), "disable": F.lit(False), "key": F.array().cast("array<string>"), "probability": F.lit(100),
-            "use_probability": F.lit(False), "sticky": F.lit(0), "cooldown": F.lit(0), "delay": F.lit(0),
-        }
-    ).drop("side")
-    together = originals.unionByName(copied).unionByName(wrappers, allowMissingColumns=True)
-    together = together.withColumn("_static_text", still)
+    rows = D.with_derived(E.complete(entries).repartition("book_id"), wrapper_name)
+    rows = rows.withColumns({"_copy_row": F.col("_batch") == 1, "_supp": F.col("_batch") == 2, "_static_text": T.is_static(F.col("content"))})
     keys = E.sort_keys(F.col("_static_text"), F.col("_copy_row"), F.col("_supp"))[:-1] + [F.col("_batch"), F.col("_tie")]
-    kept = D.pruned(E.ranked(together, keys))
-    kept = E.renumbered(E.ranked(kept, [F.col("rn")], "_place").drop("rn").withColumnRenamed("_place", "rn"))
+    kept = D.pruned(E.ranked(rows, keys)).withColumnRenamed("rn", "_place")
+    kept = E.renumbered(E.ranked(kept, [F.col("_place")]))
     kept = kept.withColumns(D.field_rules(F.col("_static_text"), F.col("_copy_row") | F.col("_supp")))
-    return kept.drop("_copy_row", "_supp", "_pair", "_batch", "_tie", "_static_text")
+    return kept.drop("_copy_row", "_supp", "_pair", "_batch", "_tie", "_static_text", "_place")
 
 
 # Merge
@@ -178,28 +161,27 @@ def merge(entries: DataFrame) -> DataFrame:
     """Static entries of one position, constancy and depth become one: contents joined in order by blank lines, fields
     but position, constant, depth and role at their defaults.  Entries alone in their group stay as they are."""
     rows = E.complete(entries)
-    rows = rows.withColumn("_can", mergeable(rows))
-    group = Window.partitionBy("book_id", "_can", "position", "constant", "depth")
-    rows = rows.withColumn("_n", F.when(F.col("_can"), F.count(F.lit(1)).over(group)).otherwise(1))
-    rows = rows.withColumn("_seen", F.min("seq").over(group))
-    together = rows.filter("_n > 1").groupBy("book_id", "position", "constant", "depth").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "seq", "content", "role"))).alias("_all"), F.min("seq").alias("_seen")
-    )
-    low, high = F.get("_all", F.lit(0)), F.element_at("_all", -1)
-    merged = together.select(
-        "book_id", "position", "constant", "depth", "_seen",
-        F.array_join(F.transform("_all", lambda x: x["content"]), "\n\n").alias("content"),
-        low["ord"].alias("ord"),
-        F.concat(F.lit(P.MERGED), low["ord"].cast("string"), F.lit("-"), high["ord"].cast("string")).alias("comment"),
-        low["role"].alias("role"),
-        F.lit(False).alias("disable"), F.array().cast("array<string>").alias("key"), F.lit(100).alias("probability"),
-        F.lit(False).alias("use_probability"), F.lit(0).alias("sticky"), F.lit(0).alias("cooldown"), F.lit(0).alias("delay"),
-        F.lit(0).alias("_batch"),
-    )
-    single = rows.filter("_n = 1").withColumn("_batch", F.when(F.col("_can"), 0).otherwise(1))
-    single = single.withColumn("_seen", F.when(F.col("_can"), F.col("_seen")).otherwise(F.col("seq"))).drop("_can", "_n")
-    out = single.unionByName(merged, allowMissingColumns=True)
-    return E.renumbered(E.ranked(out, [F.col("ord"), F.col("_batch"), F.col("_seen")])).drop("_batch", "_seen")
+    rows = rows.withColumn("_can", mergeable(rows)).withColumn("_alone", F.when(~F.col("_can"), F.col("seq")))
+    keys = ["book_id", "_can", "_alone", "position", "constant", "depth"]
+    rest = [c for c in rows.columns if c not in (*keys, "ord", "seq")]
+    groups = rows.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("ord", "seq", *rest)), _by_order).alias("_all"))
+    low, high, several = F.get("_all", F.lit(0)), F.element_at("_all", -1), F.size("_all") > 1
+    # What a merged entry has besides the fields of its group.
+    merged = {
+        "content": F.array_join(F.transform("_all", lambda x: x["content"]), "\n\n"),
+        "comment": F.concat(F.lit(P.MERGED), low["ord"].cast("string"), F.lit("-"), high["ord"].cast("string")),
+        "role": low["role"], "disable": F.lit(False), "key": F.array().cast("array<string>"), "probability": F.lit(100), "use_probability": F.lit(False),
+        "sticky": F.lit(0), "cooldown": F.lit(0), "delay": F.lit(0),
+    }
+    out = [F.when(several, merged[c]).otherwise(low[c]).alias(c) if c in merged else F.when(~several, low[c]).alias(c) for c in rest]
+    seen = F.array_min(F.transform("_all", lambda x: x["seq"]))
+    found = groups.select("book_id", "position", "constant", "depth", low["ord"].alias("ord"), *out, F.when(F.col("_can"), 0).otherwise(1).alias("_batch"), seen.alias("_seen"))
+    return E.renumbered(E.ranked(found, [F.col("ord"), F.col("_batch"), F.col("_seen")])).drop("_batch", "_seen")
+
+
+def _by_order(a: Column, b: Column) -> Column:
+    before = (a["ord"] < b["ord"]) | ((a["ord"] == b["ord"]) & (a["seq"] < b["seq"]))
+    return F.when(before, -1).otherwise(1)
 
 
 def pipeline(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME) -> DataFrame:

@@ -79,7 +79,7 @@ def entry_findings(rows: DataFrame, codes: list[str]) -> DataFrame:
     """Findings of rules on single entries, in one pass over them."""
     rules = row_rules()
     said = [F.when(rules[c][0], F.struct(F.lit(c).alias("code"), rules[c][1].alias("message"))) for c in codes]
-    found = rows.select("book_id", "uid", F.explode(F.array_compact(F.array(*said))).alias("f"))
+    found = rows.select("book_id", "uid", F.explode_outer(F.array_compact(F.array(*said))).alias("f")).filter("f is not null")
     return found.select("book_id", F.col("f.code").alias("code"), F.lit("warning").alias("level"), F.lit("entry").alias("scope"), "uid", F.col("f.message").alias("message"))
 
 
@@ -179,7 +179,7 @@ def e2(text: Column) -> Column:
 def text_findings(texts: DataFrame) -> DataFrame:
     """Findings on assembled prompts (book_id, text), in one pass over them."""
     text = F.col("text")
-    found = texts.select("book_id", F.explode(F.concat(b1(text), b2(text), tag_rules(text), e1(text), e2(text))).alias("f"))
+    found = texts.select("book_id", F.explode_outer(F.concat(b1(text), b2(text), tag_rules(text), e1(text), e2(text))).alias("f")).filter("f is not null")
     return found.select("book_id", F.col("f.code").alias("code"), F.col("f.level").alias("level"), F.lit("assembled").alias("scope"), F.lit(None).cast("bigint").alias("uid"), F.col("f.message").alias("message"))
 
 
