@@ -24,7 +24,6 @@ from promptweave.views import entries_view
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-C, M = F.col("content"), F.col("comment")
 
 
 def query(sql: str | None, ctes: str = O.ENTRIES):
@@ -50,7 +49,7 @@ def with_full(ctes: str) -> str:
 def shown(entries: DataFrame) -> DataFrame:
     keys = ["book_id", "seq", "uid", "ord", "position", "depth", "constant", "disable"]
     rest = ["role", "probability", "use_probability", "sticky", "cooldown", "delay", "comment"]
-    return entries.select(*keys, F.array_join("key", ",").alias("keys"), *rest, F.md5(C).alias("content_md5"))
+    return entries.select(*keys, F.array_join("key", ",").alias("keys"), *rest, F.md5(F.col("content")).alias("content_md5"))
 
 
 # Text functions
@@ -66,57 +65,57 @@ _NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, {O.q(p)
 
 @query(f"SELECT book_id, seq, array_to_string({_NAMED}, '|') AS markers FROM entries")
 def markers(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", F.array_join(T.markers(C), "|").alias("markers"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", F.array_join(T.markers(F.col("content")), "|").alias("markers"))
 
 
 @query(f"SELECT marker, count(*) AS n FROM (SELECT unnest({_NAMED}) AS marker FROM entries) GROUP BY marker")
 def marker_counts(spark, sf_dir):
-    return entries_view(spark, sf_dir).select(F.explode(T.markers(C)).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    return entries_view(spark, sf_dir).select(F.explode(T.markers(F.col("content"))).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT book_id, seq, {O.static('content')} AS is_static FROM entries")
 def static_flag(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", T.is_static(C).alias("is_static"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", T.is_static(F.col("content")).alias("is_static"))
 
 
 @query(f"SELECT book_id, seq, {O.plugin('content', 'comment')} AS has_plugin FROM entries")
 def plugin_flag(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", T.has_plugin(C, M).alias("has_plugin"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", T.has_plugin(F.col("content"), F.col("comment")).alias("has_plugin"))
 
 
 @query(rf"""SELECT book_id, seq, md5(regexp_replace(content, '(?s)<%[-_=#]?.*?%>', '', 'g')) AS no_code, md5(regexp_replace(content, '\{{\{{.*?\}}\}}', '', 'g')) AS no_macros,
   md5({O.residue("content")}) AS residue, md5({O.strip("content")}) AS stripped FROM entries""")
 def strip_residue(spark, sf_dir):
-    parts = {"no_code": T.without_code(C), "no_macros": T.without_macros(C), "residue": T.residue(C), "stripped": T.strip(C)}
+    parts = {"no_code": T.without_code(F.col("content")), "no_macros": T.without_macros(F.col("content")), "residue": T.residue(F.col("content")), "stripped": T.strip(F.col("content"))}
     return entries_view(spark, sf_dir).select("book_id", "seq", *[F.md5(v).alias(k) for k, v in parts.items()])
 
 
 @query(f"SELECT book_id, seq, md5(regexp_replace(content, {O.q(P.CODE_LITERALS)}, ' ', 'g')) AS bare, {O.braces('content')} AS net FROM entries")
 def net_braces(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", F.md5(T.without_literals(C)).alias("bare"), T.net_braces(C).cast("bigint").alias("net"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", F.md5(T.without_literals(F.col("content"))).alias("bare"), T.net_braces(F.col("content")).cast("bigint").alias("net"))
 
 
 @query("SELECT book_id, seq, b.kind AS type, b.s AS start_line, b.e AS end_line, CAST(b.d AS INT) AS brace_delta, md5(b.body) AS body_md5 FROM (SELECT book_id, seq, unnest(bl) AS b FROM blk)", f"{O.ENTRIES}, {O.blocks_cte('entries')}")
 def code_blocks(spark, sf_dir):
-    rows = entries_view(spark, sf_dir).select("book_id", "seq", F.explode(B.blocks_of(C)).alias("b"))
+    rows = entries_view(spark, sf_dir).select("book_id", "seq", F.explode(B.blocks_of(F.col("content"))).alias("b"))
     return rows.select("book_id", "seq", "b.type", "b.start_line", "b.end_line", "b.brace_delta", F.md5("b.content").alias("body_md5"))
 
 
 @query("SELECT book_id, seq, r.s AS s, r.e AS e FROM (SELECT book_id, seq, unnest(rg) AS r FROM rng)", f"{O.ENTRIES}, {O.blocks_cte('entries')}, {O.ranges_cte()}")
 def compound_ranges(spark, sf_dir):
     rows = entries_view(spark, sf_dir)
-    return rows.select("book_id", "seq", F.explode(B.compound_ranges(B.blocks_of(C), F.size(T.lines_of(C)))).alias("r")).select("book_id", "seq", "r.s", "r.e")
+    return rows.select("book_id", "seq", F.explode(B.compound_ranges(B.blocks_of(F.col("content")), F.size(T.lines_of(F.col("content"))))).alias("r")).select("book_id", "seq", "r.s", "r.e")
 
 
 @query("SELECT book_id, seq, net <> 0 AS unclosed FROM rng", f"{O.ENTRIES}, {O.blocks_cte('entries')}, {O.ranges_cte()}")
 def unclosed_code(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", B.is_unclosed(B.blocks_of(C)).alias("unclosed"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", B.is_unclosed(B.blocks_of(F.col("content"))).alias("unclosed"))
 
 
 @query("SELECT book_id, seq, st AS is_static, mixed0 AS is_mixed FROM cls", f"{O.ENTRIES}, {O.blocks_cte('entries')}, {O.ranges_cte()}, {O.classes_cte()}")
 def classify(spark, sf_dir):
-    lines = F.size(T.lines_of(C))
-    static, mixed = B.classified(C, B.compound_ranges(B.blocks_of(C), lines), lines)
+    lines = F.size(T.lines_of(F.col("content")))
+    static, mixed = B.classified(F.col("content"), B.compound_ranges(B.blocks_of(F.col("content")), lines), lines)
     return entries_view(spark, sf_dir).select("book_id", "seq", static.alias("is_static"), mixed.alias("is_mixed"))
 
 
@@ -126,13 +125,13 @@ _PAGES = "p AS (SELECT page_id, html AS content FROM pages)"
 @query("SELECT page_id, tag, CAST(a AS INT) AS open_start, CAST(z AS INT) AS close_end FROM tag_pairs", f"{_PAGES}, {O.tags_cte('p', 'page_id')}")
 def xml_tag_spans(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("content"))
-    return pages.select("page_id", F.explode(G.tag_spans(C)).alias("t")).select("page_id", "t.*")
+    return pages.select("page_id", F.explode(G.tag_spans(F.col("content"))).alias("t")).select("page_id", "t.*")
 
 
 @query("SELECT page_id, arg_max(tag, struct_pack(size := z - a, last := -z)) AS tag FROM tag_pairs GROUP BY page_id", f"{_PAGES}, {O.tags_cte('p', 'page_id')}")
 def outermost_tag(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("content"))
-    return pages.select("page_id", G.outermost(G.tag_spans(C)).alias("tag")).filter("tag is not null")
+    return pages.select("page_id", G.outermost(G.tag_spans(F.col("content"))).alias("tag")).filter("tag is not null")
 
 
 _H = O.q(P.HEADING)
@@ -145,19 +144,19 @@ _SEGMENTS = f"""s0 AS (SELECT book_id, seq, {O.lines("content")} AS ls FROM entr
   CAST(CASE WHEN regexp_matches(arg_min(l, i), {_H}) THEN length(regexp_extract(arg_min(l, i), {_H}, 1)) END AS INT) AS level,
   CASE WHEN regexp_matches(arg_min(l, i), {_H}) THEN {O.strip(f"regexp_extract(arg_min(l, i), {_H}, 2)")} ELSE '' END AS heading FROM s2 GROUP BY book_id, seq, part""", f"{O.ENTRIES}, {_SEGMENTS}")
 def heading_segments(spark, sf_dir):
-    rows = entries_view(spark, sf_dir).select("book_id", "seq", F.explode(G.heading_segments(T.lines_of(C))).alias("s"))
+    rows = entries_view(spark, sf_dir).select("book_id", "seq", F.explode(G.heading_segments(T.lines_of(F.col("content")))).alias("s"))
     return rows.select("book_id", "seq", "s.start_line", "s.end_line", "s.level", "s.heading")
 
 
 @query(f"SELECT book_id, seq, {O.bare('content')} AS bare, md5({O.no_tag_lines('content')}) AS no_tag_lines FROM entries")
 def bare_segments(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", T.is_bare(C).alias("bare"), F.md5(T.without_tag_lines(C)).alias("no_tag_lines"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", T.is_bare(F.col("content")).alias("bare"), F.md5(T.without_tag_lines(F.col("content"))).alias("no_tag_lines"))
 
 
 @query(f"SELECT book_id, seq, b.kind AS kind, b.name AS name, b.copy AS copy, {O.static('content')} AS is_static, {O.is_copy_content('content')} AS copy_content FROM (SELECT *, {O.boundary('content')} AS b FROM entries)")
 def boundary_detect(spark, sf_dir):
-    rows = entries_view(spark, sf_dir).withColumn("b", T.boundary(C))
-    return rows.select("book_id", "seq", "b.kind", "b.name", "b.copy", T.is_static(C).alias("is_static"), T.is_copy_content(C).alias("copy_content"))
+    rows = entries_view(spark, sf_dir).withColumn("b", T.boundary(F.col("content")))
+    return rows.select("book_id", "seq", "b.kind", "b.name", "b.copy", T.is_static(F.col("content")).alias("is_static"), T.is_copy_content(F.col("content")).alias("copy_content"))
 
 
 _SUFFIXED = "CASE seq % 5 WHEN 0 THEN comment || ' [split-static]' WHEN 1 THEN comment || ' [boundary-copy-open] [split-dynamic]' WHEN 2 THEN '合并:1-2' WHEN 3 THEN '[supplement-start]' ELSE comment END"
@@ -238,7 +237,7 @@ def sort6(spark, sf_dir):
 @query(f"SELECT book_id, seq, array_to_string(key, ',') AS keys, * EXCLUDE (book_id, seq, key) FROM (SELECT book_id, seq, {O.rules('(seq % 7 = 3)', 'st')} FROM (SELECT *, {O.static('content')} AS st FROM full_entries))", with_full("one AS (SELECT 1)"))
 def field_rules(spark, sf_dir):
     rows = full(spark, sf_dir)
-    rules = D.field_rules(T.is_static(C), F.col("seq") % 7 == 3)
+    rules = D.field_rules(T.is_static(F.col("content")), F.col("seq") % 7 == 3)
     return rows.select("book_id", "seq", *[v.alias(k) for k, v in rules.items()]).withColumn("keys", F.array_join("key", ",")).drop("key")
 
 
@@ -580,7 +579,7 @@ def lineage_changes(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     """Books written as JSON and read again."""
     again = books.parse_books(books.book_json(full(spark, sf_dir)))
-    return again.select("book_id", "seq", "uid", "ord", "position", "depth", "constant", "disable", "comment", F.md5(C).alias("content_md5"))
+    return again.select("book_id", "seq", "uid", "ord", "position", "depth", "constant", "disable", "comment", F.md5(F.col("content")).alias("content_md5"))
 
 
 @query("SELECT conv_id AS book_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, coalesce(role, 'user') AS role, md5(coalesce(text, '')) AS text_md5 FROM conversations", "")
