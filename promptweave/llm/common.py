@@ -18,7 +18,10 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one whose files make fewer partitions than there are cores is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def text_or_empty(name: str = "text") -> Column:
