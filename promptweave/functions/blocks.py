@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def _last(text: Column, what: str) -> Column:
     return F.when(at > 0, F.length(text) - at - len(what) + 1).otherwise(-1)
 
 
-def _body(raw: Column, closed: Column) -> Column:
+def _body(raw: Column) -> Column:
     """What stands between the first opening sign and the last closing one; to the end without one."""
     begin = F.length(F.regexp_extract(raw, rf"(?s)\A(.*?{P.CODE_OPEN})", 1))
     last = _last(raw, "%>")
@@ -26,42 +28,43 @@ def _body(raw: Column, closed: Column) -> Column:
     return F.substring(raw, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def blocks_of(content: Column) -> Column:
-    """array<struct<type, content, start_line, end_line, brace_delta>>: a block of code for each line, or run of lines,
-    that opens one, and a block of text for each other line.
+def _fold(content: Column, empty: Column, block: Callable[[str, Column, Column, Column], Column], add: Callable[[Column, Column], Column]) -> Column:
+    """Goes through the lines of content; add()s what block(kind, body, first line, last line) makes of each block.
 
-    A line that opens a block and closes it afterwards is a block; else the block runs to the next line with a closing
-    sign, or to the end of the text.
+    A line that opens a block and closes it afterwards is a block of code; else the block runs to the next line with a
+    closing sign, or to the end of the text.  Each line outside of code is a block of text.
     """
-    lines = lines_of(content)
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("since"), F.lit("").alias("raw"), F.array().cast(_BLOCK).alias("out"))
-
-    def block(kind: str, body: Column, first: Column, last: Column) -> Column:
-        return F.array(F.struct(F.lit(kind).alias("type"), body.alias("body"), first.cast("int").alias("start_line"), last.cast("int").alias("end_line")))
+    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("since"), F.lit("").alias("raw"), empty.alias("out"))
 
     def step(acc: Column, line: Column) -> Column:
-        inside = acc["since"] >= 0
-        raw = F.concat(acc["raw"], line)
-        closes = F.contains(line, F.lit("%>"))
-        whole = has(line, r"(?s)<%.*?%>") & has(F.regexp_replace(line, r"(?s)\A.*?<%", ""), "%>")
-        opens = F.contains(line, F.lit("<%"))
-        done = F.when(inside & closes, block("ejs", _body(raw, closes), acc["since"], acc["i"]))
-        done = done.when(~inside & opens & whole, block("ejs", _body(line, closes), acc["i"], acc["i"]))
-        done = done.when(~inside & ~opens, block("text", line, acc["i"], acc["i"])).otherwise(F.array().cast(_BLOCK))
+        inside, raw = acc["since"] >= 0, F.concat(acc["raw"], line)
+        closes, opens = F.contains(line, F.lit("%>")), F.contains(line, F.lit("<%"))
+        whole = has(F.regexp_replace(line, r"(?s)\A.*?<%", ""), "%>")
+        done = F.when(inside & closes, block("ejs", _body(raw), acc["since"], acc["i"]))
+        done = done.when(~inside & opens & whole, block("ejs", _body(line), acc["i"], acc["i"]))
+        done = done.when(~inside & ~opens, block("text", line, acc["i"], acc["i"])).otherwise(empty)
         goes_on = (inside & ~closes) | (~inside & opens & ~whole)
         return F.struct(
             (acc["i"] + 1).alias("i"),
             F.when(goes_on, F.when(inside, acc["since"]).otherwise(acc["i"])).otherwise(F.lit(-1)).alias("since"),
             F.when(goes_on, raw).otherwise(F.lit("")).alias("raw"),
-            F.concat(acc["out"], done).alias("out"),
+            add(acc["out"], done).alias("out"),
         )
 
     def finish(acc: Column) -> Column:
-        rest = block("ejs", _body(acc["raw"], F.lit(False)), acc["since"], acc["i"] - 1)
-        return F.when(acc["since"] >= 0, F.concat(acc["out"], rest)).otherwise(acc["out"])
+        return F.when(acc["since"] >= 0, add(acc["out"], block("ejs", _body(acc["raw"]), acc["since"], acc["i"] - 1))).otherwise(acc["out"])
+
+    return F.aggregate(lines_of(content), start, step, finish)
+
+
+def blocks_of(content: Column) -> Column:
+    """array<struct<type, content, start_line, end_line, brace_delta>> of the blocks of code and text."""
+
+    def block(kind: str, body: Column, first: Column, last: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("type"), body.alias("body"), first.cast("int").alias("start_line"), last.cast("int").alias("end_line")))
 
     return F.transform(
-        F.aggregate(lines, start, step, finish),
+        _fold(content, F.array().cast(_BLOCK), block, F.concat),
         lambda b: F.struct(
             b["type"].alias("type"),
             F.when(b["type"] == "ejs", strip(b["body"])).otherwise(b["body"]).alias("content"),
@@ -72,6 +75,11 @@ def blocks_of(content: Column) -> Column:
     )
 
 
+def code_balance(content: Column) -> Column:
+    """Sum of the brace differences of all blocks, without making the blocks: for texts of any number of lines."""
+    return _fold(content, F.lit(0), lambda kind, body, first, last: net_braces(body) if kind == "ejs" else F.lit(0), lambda a, b: a + b)
+
+
 def bad_braces(blocks: Column) -> Column:
     """A block with twenty or more braces left open or closed too often: its entry is quarantined, not fatal."""
     return F.exists(blocks, lambda b: F.abs(b["brace_delta"]) >= 20)

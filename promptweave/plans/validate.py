@@ -124,7 +124,7 @@ def b1(text: Column) -> Column:
 
 
 def b2(text: Column) -> Column:
-    net = F.aggregate(B.blocks_of(text), F.lit(0), lambda a, b: a + b["brace_delta"])
+    net = B.code_balance(text)
     return _one("B2", "error", net != 0, _said("EJS brace unbalanced: net=", net))
 
 

@@ -19,7 +19,7 @@ from promptweave.operators import boundaries as D
 from promptweave.operators import entries as E
 from promptweave.plans import lineage, listing, pipeline, prompt, validate
 from promptweave.sources import books
-from promptweave.views import entries_view
+from promptweave.views import entries_view, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,14 +109,16 @@ def compound_ranges(spark, sf_dir):
 
 @query("SELECT book_id, seq, net <> 0 AS unclosed FROM rng", f"{O.ENTRIES}, {O.blocks_cte('entries')}, {O.ranges_cte()}")
 def unclosed_code(spark, sf_dir):
-    return entries_view(spark, sf_dir).select("book_id", "seq", B.is_unclosed(B.blocks_of(F.col("content"))).alias("unclosed"))
+    return entries_view(spark, sf_dir).select("book_id", "seq", (B.code_balance(F.col("content")) != 0).alias("unclosed"))
 
 
 @query("SELECT book_id, seq, st AS is_static, mixed0 AS is_mixed FROM cls", f"{O.ENTRIES}, {O.blocks_cte('entries')}, {O.ranges_cte()}, {O.classes_cte()}")
 def classify(spark, sf_dir):
     lines = F.size(T.lines_of(F.col("content")))
-    static, mixed = B.classified(F.col("content"), B.compound_ranges(B.blocks_of(F.col("content")), lines), lines)
-    return entries_view(spark, sf_dir).select("book_id", "seq", static.alias("is_static"), mixed.alias("is_mixed"))
+    # Texts without code have no blocks to fold.
+    found = F.when(F.contains("content", F.lit("<%")), B.compound_ranges(B.blocks_of(F.col("content")), lines)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    static, mixed = B.classified(F.col("content"), F.col("found"), lines)
+    return entries_view(spark, sf_dir).withColumn("found", found).select("book_id", "seq", static.alias("is_static"), mixed.alias("is_mixed"))
 
 
 _PAGES = "p AS (SELECT page_id, html AS content FROM pages)"
@@ -124,13 +126,13 @@ _PAGES = "p AS (SELECT page_id, html AS content FROM pages)"
 
 @query("SELECT page_id, tag, CAST(a AS INT) AS open_start, CAST(z AS INT) AS close_end FROM tag_pairs", f"{_PAGES}, {O.tags_cte('p', 'page_id')}")
 def xml_tag_spans(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("content"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.col("html").alias("content"))
     return pages.select("page_id", F.explode(G.tag_spans(F.col("content"))).alias("t")).select("page_id", "t.*")
 
 
 @query("SELECT page_id, arg_max(tag, struct_pack(size := z - a, last := -z)) AS tag FROM tag_pairs GROUP BY page_id", f"{_PAGES}, {O.tags_cte('p', 'page_id')}")
 def outermost_tag(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("content"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.col("html").alias("content"))
     return pages.select("page_id", G.outermost(G.tag_spans(F.col("content"))).alias("tag")).filter("tag is not null")
 
 

@@ -37,6 +37,12 @@ FROM v
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files make fewer partitions than there are cores; larger tables stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def entries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = ENTRIES_SQL.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}")
-    return spark.sql(query, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.sql(query, documents=spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
