@@ -31,7 +31,7 @@ def markers(content: Column) -> Column:
 def is_static(content: Column) -> Column:
     """No marker.  Most texts hold none of the strings that markers need and stop at that."""
     hinted = any_of([F.contains(content, F.lit(h)) for h in P.MARKER_HINTS])
-    return ~F.when(hinted, any_of([has(content, p) for _, p in P.MARKERS])).otherwise(False)
+    return ~(hinted & has(content, P.ANY_MARKER))
 
 
 def has_plugin(content: Column, comment: Column) -> Column:

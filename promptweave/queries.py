@@ -574,6 +574,23 @@ def lineage_changes(spark, sf_dir):
     return lineage.kept_changes(*_both(spark, sf_dir))
 
 
+_PLACE = "printf('uid=%s  order=%s  pos=%s  sorted=#%s', CAST(n.uid AS VARCHAR), CAST(n.ord AS VARCHAR), CAST(n.position AS VARCHAR), CAST(n.rn AS VARCHAR))"
+_REPORT = f"""SELECT book_id, rn AS orig_rn, CAST(0 AS BIGINT) AS nth,
+  printf('  #%-4s %-40s uid=%-3s order=%-3s pos=%s  const=%s', CAST(rn AS VARCHAR), comment, CAST(uid AS VARCHAR), CAST(ord AS VARCHAR), CAST(position AS VARCHAR), {O.mark("constant")}) AS line FROM o
+UNION ALL SELECT f.book_id, f.orig_rn, row_number() OVER (PARTITION BY f.book_id, f.orig_rn ORDER BY f.role = 'merged', f.opt_rn), CASE f.type
+  WHEN 'split' THEN '         └─ ' || CASE f.role WHEN 'split-dynamic' THEN '拆分→[动态]' WHEN 'split-static' THEN '拆分→[静态]' ELSE '拆分→[静态已合并]' END || '  ' || {_PLACE} || CASE WHEN n.comment <> '' THEN '  "' || n.comment || '"' ELSE '' END
+  WHEN 'merged' THEN '         → 合并入  ' || {_PLACE} || '  "' || n.comment || '"'
+  WHEN 'kept' THEN '         → 保持  uid=' || n.uid || '  sorted: #' || o.rn || ' → #' || n.rn || CASE WHEN len(ch) > 0 THEN '  |  ' || array_to_string(ch[1:3], '; ') ELSE '' END
+  ELSE '         → ? 未知去向' END
+FROM (SELECT fwd.*, list_filter([{_CHANGES}], lambda x: x IS NOT NULL) AS ch FROM fwd LEFT JOIN o ON o.book_id = fwd.book_id AND o.rn = fwd.orig_rn LEFT JOIN n ON n.book_id = fwd.book_id AND n.rn = fwd.opt_rn) f
+JOIN o ON o.book_id = f.book_id AND o.rn = f.orig_rn LEFT JOIN n ON n.book_id = f.book_id AND n.rn = f.opt_rn"""
+
+
+@query(_REPORT, LINEAGE)
+def lineage_report(spark, sf_dir):
+    return lineage.report_lines(*_both(spark, sf_dir))
+
+
 # Files
 
 
