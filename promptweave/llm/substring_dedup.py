@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, small_batches
+from .common import SPACE_CLASS, read_table, saved, small_batches
 
 WINDOW = 50
 KMER = 16
@@ -189,7 +189,7 @@ def _keep_batches(keep_text: bool):
 
 
 def _repeated(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """rows: all paths.  Spans (doc_id, s, e) of words under windows that start in a smaller doc_id as well."""
+    """rows: all paths.  Spans (doc_id, s, e, source) of words under windows that start in the smaller doc_id source too."""
     # Minimizers of two documents or more; all others are done with.  Aggregates are written before they are joined:
     # then both sides of each join come straight from a shuffle, and Spark splits a hot key's partition.
     shared = rows.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
@@ -197,7 +197,7 @@ def _repeated(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     sources = saved(met.groupBy("mark", "content").agg(F.min("doc_id").alias("source")), "sources")
     branches = saved(sources.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"), "branches")
     told = met.join(sources, ["mark", "content"])
-    whole = told.filter("source < doc_id").select("doc_id", F.col("first").alias("s"), (F.col("last") + window).alias("e"))
+    whole = told.filter("source < doc_id").select("doc_id", F.col("first").alias("s"), (F.col("last") + window).alias("e"), "source")
     # The first document of a path may share some of the path's edges with others at a branch: take it apart.
     open_paths = told.filter("source = doc_id").join(branches, "mark")
     parts = open_paths.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "first", "last")).alias("at"))
@@ -205,7 +205,29 @@ def _repeated(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     edges = saved(edges.mapInArrow(_edge_batches(window), "mark long, content long, doc_id long, first int"), "edges")
     first_of = edges.groupBy("mark", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).filter("source < high").select("mark", "content", "source")
     single = edges.join(saved(first_of, "first-edges"), ["mark", "content"]).filter("source < doc_id")
-    return whole.unionByName(single.select("doc_id", F.col("first").alias("s"), (F.col("first") + window).alias("e")))
+    return whole.unionByName(single.select("doc_id", F.col("first").alias("s"), (F.col("first") + window).alias("e"), "source"))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """doc_id, s, e, source: runs of words s .. e - 1 of a document that stand in the document source as well, which has
+    the smallest id of all that hold them.  Runs of one document may overlap.  Null ids and texts have none."""
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    rows = texts.filter("doc_id is not null").mapInArrow(_path_batches(window, kmer), "mark long, content long, doc_id long, first int, last int")
+    return _repeated(saved(rows, "all-paths"), texts, window)
+
+
+def verified(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """spans with the column holds: the words of the run, read at its coordinates, do stand in the source's text.
+
+    An audit of hashes by the texts themselves; it reads both texts of every span.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")
+    sides = docs.select(F.col("doc_id").alias("_id"), words.alias("_words"))
+    own = spans.join(sides, F.col("doc_id") == F.col("_id")).withColumn("_run", F.slice("_words", F.col("s") + 1, F.col("e") - F.col("s"))).drop("_id", "_words")
+    there = own.join(sides, F.col("source") == F.col("_id"))
+    padded = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+    return there.withColumn("holds", F.contains(padded, F.concat(F.lit(" "), F.array_join("_run", " "), F.lit(" ")))).drop("_id", "_words", "_run")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, keep_text: bool = True) -> DataFrame:
@@ -221,10 +243,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, kee
     branches move; per path 32 bytes; every grouping is a minimum that combines on the map side, so a passage that a
     third of the corpus shares stays one row per task.
     """
-    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    rows = texts.filter("doc_id is not null").mapInArrow(_path_batches(window, kmer), "mark long, content long, doc_id long, first int, last int")
-    spans = _repeated(saved(rows, "all-paths"), texts, window).distinct()
+    spans = repeated_spans(docs, window, kmer).select("doc_id", "s", "e").distinct()
     spans = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = texts.join(spans, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_keep_batches(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)

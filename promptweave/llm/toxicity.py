@@ -18,6 +18,8 @@ from .sampling import bounded_per_label
 
 #: Most labelled rows of each class that the fit sees, in expectation.
 SAMPLE_PER_CLASS = 4000
+#: Most terms of one sampled row, those of the smallest hashes: with SAMPLE_PER_CLASS it bounds what the driver gets.
+SAMPLE_TERMS = 32_768
 HASH_BITS = 20
 #: Hashed terms that enter the machine, by their association with the label on the sample.
 MOST_TERMS = 4096
@@ -117,7 +119,7 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         packed = []
         for text in batch.column("text").to_pylist():
-            packed.append(np.unique(np.array([h for w in words_of(text) for h in terms(w)], np.int32)).tobytes())
+            packed.append(np.unique(np.array([h for w in words_of(text) for h in terms(w)], np.int32))[:SAMPLE_TERMS].tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(packed, pa.binary())], ["y", "terms"])
 
 

@@ -137,6 +137,15 @@ def test_repeats(spark, seed):
     assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 8)))
 
 
+def test_spans_hold_at_their_sources(spark):
+    rng = random.Random(5)
+    pieces = [sentence(rng, rng.randint(5, 40), "abc") for _ in range(8)]
+    docs = documents(spark, [(i, "\t".join(rng.choice(pieces) for _ in range(6))) for i in range(40)])
+    spans = substring_dedup.repeated_spans(docs, window=10, kmer=4)
+    found = substring_dedup.verified(spans, docs).collect()
+    assert found and len(found) == spans.count() and all(r.holds and r.source < r.doc_id for r in found)
+
+
 def test_repeats_edge_rows(spark):
     got = [tuple(r) for r in substring_dedup.without_repeats(documents(spark, EDGE)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_repeats(EDGE, 50)))
