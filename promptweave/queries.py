@@ -386,7 +386,34 @@ def prompt_text(spark, sf_dir):
     return prompt.prompt_text(_sections(spark, sf_dir)).select("book_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query(None)
+def _bar(title: str) -> str:
+    return O.q(f"<!-- ============ {title} ============ -->")
+
+
+_HELD = {2: ("[2/12] World Info (before) pos=0", "2"), 7: ("[7/12] World Info (after) pos=1", "7"), 8: ("[8/12] Chat Examples pos=5 [top]", "8"), 12: ("[10/12] Author''s Note pos=2/3", "12, 13")}
+_ALWAYS = {3: "[3/12] Persona Description", 4: "[4/12] Character Description", 5: "[5/12] Character Personality", 6: "[6/12] Scenario"}
+_TITLED = " UNION ALL ".join(
+    [f"SELECT DISTINCT book_id, {k}, 0, 0, 0, 0, chr(10) || '<!-- ============ {t} ============ -->' FROM plc WHERE section IN ({w})" for k, (t, w) in _HELD.items()]
+    + [f"SELECT book_id, {k}, 0, 0, 0, 0, chr(10) || {_bar(t)} FROM books" for k, t in _ALWAYS.items()]
+    + [f"SELECT book_id, 1, 0, 0, 0, 0, {_bar('[1/12] System Prompt')} FROM books", f"SELECT book_id, 10, 0, -1, 0, 0, chr(10) || {_bar('[9/12] Chat History (with pos=4 atDepth)')} FROM books"]
+    + ["SELECT DISTINCT book_id, 9, 0, 0, 0, 0, chr(10) || '<!-- Chat Examples pos=6 [bottom] -->' FROM plc WHERE section = 9"]
+)
+_FIRST = "CASE WHEN section = 10 THEN -depth ELSE 0 END"
+_COMMENTED = f"""{_SORTED}, books AS (SELECT DISTINCT book_id FROM full_entries), plc AS (
+  SELECT *, {_RANK} AS section FROM srt WHERE position <> 7 AND (position <> 4 OR depth >= 0)
+), sec(book_id, section, g, k, rn, l, text) AS (
+  SELECT book_id, section, {_FIRST}, 1, rn, 1, content FROM plc
+  UNION ALL SELECT book_id, section, {_FIRST}, 1, rn, 0, '<!-- Entry uid=' || uid || ': order=' || ord || ' "' || comment || '" static=' || {O.mark("st")} || ' pos=' || position || ' depth=' || {_NONE.format("depth")} || ' -->' FROM plc
+  UNION ALL SELECT book_id, section, {_FIRST}, 0, rn, 0, '<!--   injected: Entry uid=' || uid || ' order=' || ord || ' comment="' || comment || '" pos=4 depth=' || depth || ' -->' FROM plc WHERE section = 10
+  UNION ALL SELECT book_id, s.k, 0, 1, 0, 0, s.t FROM books, (VALUES (1, '[System Prompt Placeholder]'), (3, '[Persona Description Placeholder]'), (4, '[Character Description Placeholder]'), (5, '[Character Personality Placeholder]'),
+    (6, '[Scenario Placeholder]')) AS s(k, t)
+  UNION ALL SELECT book_id, 11, 0, 1, 0, 0, chr(10) || '<!-- Chat Message 1: -->' FROM books UNION ALL SELECT book_id, 11, 0, 1, 0, 1, '用户: [Chat History Placeholder]' FROM books
+  UNION ALL {_TITLED}
+  UNION ALL SELECT book_id, 14, 0, 1, 0, 0, chr(10) || '<!-- ============================================ -->' || chr(10) || '<!-- 总计: 12 段, ' || (SELECT count(*) FROM plc WHERE plc.book_id = books.book_id AND section = 10) || ' 个 WI 条目注入 -->' FROM books
+)"""
+
+
+@query("SELECT book_id, string_agg(text, chr(10) ORDER BY section, g, k, rn, l) AS text FROM sec GROUP BY book_id", with_full(_COMMENTED))
 def prompt_with_comments(spark, sf_dir):
     return prompt.prompt_text(prompt.sections(entries_view(spark, sf_dir), comments=True))
 
@@ -475,7 +502,11 @@ def val_text(spark, sf_dir):
     return validate.text_findings(prompt.prompt_text(prompt.sections(full(spark, sf_dir))))
 
 
-@query(None)
+_MD_ALL = _MD.replace(" WHERE book_id % 3 <> uid % 2", "")
+_ALL = " UNION ALL ".join([*ENTRY_SQL.values(), _F6, _D2, TEXT_SQL])
+
+
+@query(_ALL, with_full(f"{_MD_ALL}, {_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
 def validate_all(spark, sf_dir):
     return validate.validate(entries_view(spark, sf_dir), strict=True)
 
@@ -495,7 +526,14 @@ def val_artifact(spark, sf_dir):
     return validate.check_artifact(entries_view(spark, sf_dir))
 
 
-@query(None)
+_CHAIN = " UNION ALL ".join([
+    _finding("CH1", "NULL", "'reordered is missing'", "chain", "error", "file"),
+    _finding("CH2", "NULL", "'split (' || s || ') < analysis (' || a || ')'", "chain WHERE s < a", "warning", "file"),
+    _finding("CH3", "NULL", "'no backup file found'", "chain WHERE book_id <= 3", "warning", "file"),
+])
+
+
+@query(_CHAIN, with_full(f"{O.split_ctes()}, chain AS (SELECT book_id, (SELECT count(*) FROM full_entries f WHERE f.book_id = n.book_id) AS a, count(*) AS s FROM split_out n GROUP BY book_id)"))
 def val_chain(spark, sf_dir):
     rows = entries_view(spark, sf_dir)
     split = pipeline.split(rows)
