@@ -89,6 +89,11 @@ def write_books(entries: DataFrame, path: str) -> None:
     book_json(entries).write.partitionBy("book_id").mode("overwrite").text(path)
 
 
+def reread(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of what write_books wrote; book_id as it was."""
+    return parse_books(spark.read.text(path).select(F.col("book_id").cast("bigint"), "value"))
+
+
 def artifact_name(stem: str, step: str) -> str:
     """Table or file name of a step's result."""
     if step not in ("analysis", "split", "reordered", "merged"):
