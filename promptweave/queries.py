@@ -5,6 +5,7 @@ Order is a column (rn, seq, nth) where it matters; lists are joined to strings;
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -631,6 +632,16 @@ def lineage_report(spark, sf_dir):
 
 # Files
 
+_FIELDS = {k: json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for k, v in E.default_fields().items()}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {O.q(k)}, {O.q(v)})" for i, (k, v) in enumerate(_FIELDS.items())) + ") AS f(place, field, value)", "")
+def default_fields(spark, sf_dir):
+    """Fields of a new entry, as the writer fills them in."""
+    made = spark.range(1).select(F.from_json(F.lit(books.default_json()), "map<string,variant>").alias("f"))
+    return made.select(F.posexplode("f").alias("place", "field", "v")).select("place", "field", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
+
+
 
 @query("SELECT book_id, seq, uid, ord, position, depth, constant, disable, comment, md5(content) AS content_md5 FROM entries")
 def json_round_trip(spark, sf_dir):

@@ -66,13 +66,13 @@ def entry_json(entries: DataFrame) -> Column:
     if not have_raw:
         return values
     new = F.from_json(values, "map<string,variant>")
-    own = F.coalesce(F.col("raw"), F.from_json(F.lit(_default_json()), "map<string,variant>"))
+    own = F.coalesce(F.col("raw"), F.from_json(F.lit(default_json()), "map<string,variant>"))
     changed = F.transform_values(own, lambda k, v: F.when(F.map_contains_key(new, k), F.element_at(new, k)).otherwise(v))
     added = F.map_filter(new, lambda k, v: ~F.map_contains_key(own, k))
     return F.to_json(F.map_concat(changed, added))
 
 
-def _default_json() -> str:
+def default_json() -> str:
     return json.dumps(default_fields(), ensure_ascii=False)
 
 
