@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+import weakref
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,24 +50,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written and not yet dropped: the frame that reads one -> its folder.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_PATHS: dict[str, SparkSession] = {}
+
+
+def _target(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, and a lost executor loses nothing.
 
-    The files go when the application ends; a lazy result may read them until then.
+    A lazy result may read the files until `dropped` or `release` is called or the driver's JVM ends, which deletes
+    them also where the session was stopped before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/promptweave-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _target(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out], _PATHS[path] = path, spark
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete the files of saved tables that nothing will read again."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None) if table is not None else None
+        if path:
+            _delete(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # already stopped
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def release() -> None:
+    """Delete the files of all saved tables: for long-lived sessions, once the results are collected or written."""
+    for path in list(_PATHS):
+        _delete(path)
+    _WRITTEN.clear()
+
+
+def _delete(path: str) -> None:
+    spark = _PATHS.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:  # else stopped: the JVM deletes them as it ends
+        system, target = _target(spark, path)
+        system.delete(target, True)
+        system.cancelDeleteOnExit(target)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or a longer name that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
@@ -75,5 +112,10 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def in_fold(doc_id: Column, modulus: int, fold: int) -> Column:
+    """Whether the id falls in the fold; a null id falls in none."""
+    return F.coalesce(crc_bucket(doc_id, modulus) == fold, F.lit(False))
+
+
 def crc_bucket_py(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus

@@ -3,13 +3,13 @@
 import random
 
 #: Extra columns whose names the operators use inside.
-CLASHING = "doc_id long, text string, lang string, source string, h string, body string, fp long, mark string, spans string, key string, _pw_score string, score double, at int, component_id long"
+CLASHING = "doc_id long, text string, lang string, source string, h string, body string, fp long, mark string, spans string, key string, _pw_score string, score double, at int, component_id long, toxicity double"
 N_EXTRA = 10
 
 
 def documents(spark, rows):
     """rows: (doc_id, text) or (doc_id, text, lang); with columns of clashing names."""
-    full = [(*r, *([None] * (3 - len(r))), "s", "x", "x", 1, "x", "x", "x", "x", 0.5, 1, 1) for r in rows]
+    full = [(*r, *([None] * (3 - len(r))), "s", "x", "x", 1, "x", "x", "x", "x", 0.5, 1, 1, 0.5) for r in rows]
     return spark.createDataFrame(full, CLASHING).repartition(3)
 
 
