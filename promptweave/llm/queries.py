@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_benchmark_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op7_language_id
-from .pii import op10_pii
+from .pii import OP10_SQL, op10_pii
 from .secrets import OP5_SQL, op5_secret_scans
 from .sentencepieces import op6_sentencepiece
 from .simhash import op3_simhash_near_dedup
@@ -34,4 +34,5 @@ ORACLE_SQL = {
     "op4_url_filters": OP4_SQL,
     "op5_secret_scans": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op10_pii": OP10_SQL,
 }

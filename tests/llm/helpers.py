@@ -2,6 +2,10 @@
 
 import random
 
+import duckdb
+
+from promptweave.llm.queries import ORACLE_SQL, QUERIES
+
 #: Extra columns whose names the operators use inside.
 CLASHING = "doc_id long, text string, lang string, source string, h string, body string, fp long, mark string, spans string, key string, _pw_score string, score double, at int, component_id long, toxicity double"
 N_EXTRA = 10
@@ -18,3 +22,17 @@ def sentence(rng: random.Random, n: int, words: str = "abcdefghijklmnopqrstuvwxy
 
 
 EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "no id here"), (5, "word " * 30_000), (6, "héé 中文字 😀 ▁ x")]
+
+
+def same_as_sql(spark, folder, name, texts, more=()):
+    """Whether a registered query equals its SQL twin on a table documents of these texts; more: (name, frame) of others."""
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(3).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    for other, frame in more:
+        frame.write.mode("overwrite").parquet(f"{folder}/{other}.parquet")
+    got = QUERIES[name](spark, str(folder))
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    for table in ("documents", *(o for o, _ in more)):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(str(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(map(str, want))

@@ -1,10 +1,11 @@
 import hashlib
 import random
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
-from helpers import EDGE, documents, sentence
+from helpers import EDGE, documents, same_as_sql, sentence
 from pyspark.sql import functions as F
 
 from promptweave.llm import decontamination, language_id, pii, sentencepieces, toxicity
@@ -293,8 +294,64 @@ def test_pii_base_spans():
 
 
 def test_pii_long_runs_are_linear():
-    for text in ("1" * 300_000, "a" * 300_000 + "@", "+1" + "." * 200_000, "AB12" + "A1B2 " * 60_000, "1." * 100_000):
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "+1" + "." * 200_000, "AB12" + "A1B2 " * 60_000, "1." * 100_000, "GB12" * 80_000, ("GB82" + "A1B2" * 10 + "AB" + " ") * 8_000, "GB82 " * 60_000):
+        began = time.process_time()
         pii.find_spans(text)
+        assert time.process_time() - began < 5, text[:10]
+
+
+def iban_of(country, rng, blanks):
+    body = "".join(rng.choice("0123456789ABCXYZ") for _ in range(pii.IBAN_SIGNS[country] - 4))
+    turned = "".join(str(int(c, 36)) for c in body + country + "00")
+    code = f"{country}{98 - int(turned) % 97:02d}{body}"
+    return " ".join(code[i : i + 4] for i in range(0, len(code), 4)) if blanks else code
+
+
+def brute_ibans(text):
+    """Every stretch of the text: a country's number of signs, blanks where groups of four meet, sum of digits."""
+    sign = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found = []
+    for i in range(len(text)):
+        for j in range(i + 15, min(len(text), i + 44) + 1):
+            part = text[i:j]
+            code = part.replace(" ", "")
+            if pii.IBAN_SIGNS.get(code[:2]) != len(code) or not set(code) <= sign or code != code.upper() or not code[2:4].isdigit():
+                continue
+            if part[0] == " " or part[-1] == " " or "  " in part or any(c == " " and len(part[:k].replace(" ", "")) % 4 for k, c in enumerate(part)):
+                continue
+            if text[i - 1 : i] in sign or text[j : j + 1] in sign:
+                continue
+            if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                found.append((i, 4, j))
+    return found
+
+
+def test_pii_ibans_against_brute_force():
+    rng = random.Random(12)
+    seen = 0
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            iban = iban_of(rng.choice(["GB", "NO", "MT", "DE", "BE"]), rng, rng.random() < 0.6)
+            parts.append(iban if kind < 0.5 else iban[: rng.randint(2, len(iban))] if kind < 0.7 else rng.choice(["XX12 ABCD", "GB82", "é", "NOW", "12", "a"]))
+        text = rng.choice([" ", "  ", "", "\n"]).join(parts)
+        want = brute_ibans(text)
+        assert [x for x in pii.find_spans(text) if x[1] == 4] == want, text
+        seen += len(want)
+    assert seen > 150
+    hidden = "XX12 ABCD EFGH GB29 NWBK 6016 1331 9268 19"
+    assert [x for x in pii.find_spans(hidden) if x[1] == 4] == [(15, 4, 42)]
+    both = "GB29 NWBK 6016 1331 9268 19 GB82 WEST 1234 5698 7654 32"
+    assert [x for x in pii.find_spans(both) if x[1] == 4] == [(0, 4, 27), (28, 4, 55)]
+
+
+def test_pii_twin_on_planted_texts(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [None, "", "a@b.co b@c", "1.2.3.256 1.2.3.4.5", "+12 (34) 567-89 01x", "iban GB82 WEST 1234 5698 7654 32, " + iban_of("NO", rng, True) + " bank", "card 4111-1111 1111 1111 0 4111111111111111"]
+    texts += ["".join(rng.choice(rng.choice(["0123456789", "a@.-+ ()", "0.1@+-", "GB82 "])) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += [" ".join(iban_of(rng.choice(["GB", "NO"]), rng, rng.random() < 0.5) for _ in range(3)) for _ in range(20)]
+    same_as_sql(spark, tmp_path, "op10_pii", texts)
 
 
 def test_personal_data(spark):
