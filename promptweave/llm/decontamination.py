@@ -16,16 +16,21 @@ from .common import read_table, small_batches
 
 #: Word edits allowed per word of a test item: a similarity of 0.8 or more counts.
 ERROR_RATE = 0.2
-#: Shorter items are no evidence of a leak and match nothing.
-MIN_WORDS = 5
+#: An item with fewer characters in its words is found only where a document holds nothing else.
+LEAST_CHARS = 8
 #: Characters of test items in one broadcast; a larger benchmark is matched in as many blocks as it takes.
 BLOCK_CHARS = 8_000_000
+# Scripts written without blanks, of which every character is a word: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _WORD = re.compile(r"\w+")
+_WORD_OR_SIGN = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _SCHEMA = "doc_id long, item_id long, distance int, n_item_words int, start_word int, end_word int"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of word characters, lower-cased; in scripts without blanks each character."""
+    text = (text or "").lower()
+    return (_WORD if text.isascii() else _WORD_OR_SIGN).findall(text)
 
 
 @dataclass
@@ -33,24 +38,26 @@ class Item:
     item_id: int
     size: int
     budget: int
+    alone: bool
     masks: dict[str, int]
     pieces: list[tuple[int, str]]
 
 
-def prepare(item_id: int, text: str | None, rate: float = ERROR_RATE, least: int = MIN_WORDS) -> Item | None:
+def prepare(item_id: int, text: str | None, rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> Item | None:
     """An item cut into budget + 1 runs of words, (first word, words joined by blanks).
 
-    `budget` edits touch at most `budget` of the pieces, so a match leaves one piece unchanged.
+    `budget` edits touch at most `budget` of the pieces, so a match leaves one piece unchanged.  The budget of a short
+    item is none: it is found as it stands.
     """
     words = words_of(text)
-    if len(words) < least:
+    if not words:
         return None
     budget = int(len(words) * rate)
     cuts = [len(words) * i // (budget + 1) for i in range(budget + 2)]
     masks: dict[str, int] = {}
     for i, w in enumerate(words):
         masks[w] = masks.get(w, 0) | 1 << i
-    return Item(item_id, len(words), budget, masks, [(i, " ".join(words[i:j])) for i, j in zip(cuts, cuts[1:])])
+    return Item(item_id, len(words), budget, sum(map(len, words)) < least, masks, [(i, " ".join(words[i:j])) for i, j in zip(cuts, cuts[1:])])
 
 
 def myers_best(masks: dict[str, int], size: int, text: list[str]) -> tuple[int, int]:
@@ -79,7 +86,7 @@ def myers_best(masks: dict[str, int], size: int, text: list[str]) -> tuple[int,
 class Matcher:
     """Finds items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = ERROR_RATE, least: int = MIN_WORDS) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> None:
         self.items = [x for x in (prepare(i, t, rate, least) for i, t in items) if x]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
@@ -97,23 +104,36 @@ class Matcher:
         if self.automaton is None or not words:
             return []
         line = f" {' '.join(words)} "
-        starts, tried, found = None, set(), {}
+        starts, near, found = None, {}, {}
         for end, (length, at) in self.automaton.iter(line):
             if starts is None:
                 starts = np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
             word = int(np.searchsorted(starts, end - length))
             for n, first in at:
-                if (n, word - first) in tried:
-                    continue
-                tried.add((n, word - first))
                 item = self.items[n]
-                low = max(0, word - first - item.budget)
-                distance, stop = myers_best(item.masks, item.size, words[low : word - first + item.size + item.budget])
+                if not item.alone or len(words) == item.size:
+                    near.setdefault(n, set()).add(max(0, word - first - item.budget))
+        for n, lows in near.items():
+            item = self.items[n]
+            for low, high in _merged(sorted(lows), item.size + 2 * item.budget):
+                distance, stop = myers_best(item.masks, item.size, words[low:high])
                 if distance <= item.budget and (distance, low + stop) < found.get(n, (item.budget + 1, 0))[:2]:
                     found[n] = (distance, low + stop)
         return [(self.items[n].item_id, d, self.items[n].size, max(0, stop - self.items[n].size), stop) for n, (d, stop) in sorted(found.items())]
 
 
+def _merged(lows: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Windows of `size` words from each place on, those that touch as one: a text is read once for an item, however
+    often its pieces stand there."""
+    start, end = lows[0], lows[0] + size
+    for low in lows[1:]:
+        if low > end:
+            yield start, end
+            start = low
+        end = low + size
+    yield start, end
+
+
 def _match_batches(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block.value)
@@ -139,10 +159,12 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[
 def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and test item found in it, with the least word distance and where it stands.
 
-    Words are runs of word characters, lower-cased.  An item of n words is found where some run of the document's
-    words is within floor(n / 5) edits.  Only clean documents have no row.  Items of fewer than five words, null texts
-    and empty texts match nothing; items of equal text are found each; rows repeated under one doc_id are matched
-    each; empty tables give no rows.  The pass over the documents is map-only: no shuffle, whatever their skew.
+    Words are runs of word characters, lower-cased, and in scripts without blanks each character.  An item of n words
+    is found where some run of the document's words is within floor(n / 5) edits, so one of fewer than five words where
+    it stands unchanged, and one of fewer than LEAST_CHARS characters where it is all that the document says.  Only
+    clean documents have no row.  Null texts and texts without words match nothing; items of equal text are found
+    each; rows repeated under one doc_id are matched each; empty tables give no rows.  The pass over the documents is
+    map-only: no shuffle, whatever their skew.
     """
     spark = docs.sparkSession
     small_batches(spark)

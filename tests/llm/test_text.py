@@ -3,6 +3,7 @@ import random
 import time
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import EDGE, documents, same_as_sql, sentence
@@ -24,15 +25,47 @@ def edit_distance(pattern, text):
 
 def test_matcher_against_brute_force():
     rng = random.Random(3)
-    for _ in range(150):
-        vocabulary = "abcdefgh"[: rng.randint(2, 8)]
-        items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 14)))) for i in range(5)]
-        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))
-        got = {m[0]: m[1] for m in decontamination.Matcher(items).find(text)}
-        want = {i: d for i, t in items if len(t.split()) >= 5 and (d := edit_distance(t.split(), text.split())) <= len(t.split()) // 5}
+    for k in range(200):
+        vocabulary = "abcdefgh"[: rng.randint(2, 8)] if k % 4 else "中文字かなท"
+        blank = " " if k % 4 else ""  # every sign of a script without blanks is a word
+        items = [(i, blank.join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14)))) for i in range(5)]
+        text = blank.join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))
+        words = list(text.replace(" ", ""))
+        got = {m[0]: m[1] for m in decontamination.Matcher(items, least=3).find(text)}
+        want = {}
+        for i, t in items:
+            signs = list(t.replace(" ", ""))
+            d = edit_distance(signs, words)
+            if d <= len(signs) // 5 and (len(signs) >= 3 or signs == words):
+                want[i] = d
         assert got == want
 
 
+def test_short_and_unspaced_items():
+    found = decontamination.Matcher([(1, "What is 2+2?"), (2, "請問台灣最高的山是哪一座"), (3, "Yes."), (4, "?!")]).find
+    assert [m[0] for m in found("Question: what is 2 + 2 ? Four")] == [1]
+    assert found("what is 2 or 2") == []
+    assert [m[:2] for m in found("他說:請問台灣最高的山是哪座?我不知道")] == [(2, 1)]
+    assert [m[0] for m in found("yes!")] == [3] and found("yes, it is") == []
+
+
+def test_repeated_pieces_are_read_once():
+    item = " ".join(["for"] * 30)
+    began = time.process_time()
+    assert decontamination.Matcher([(1, item)]).find("for " * 100_000)[0][:2] == (1, 0)
+    assert time.process_time() - began < 5
+
+
+def test_exact_hits_are_those_of_sql(spark, sf_dir):
+    sf_dir = Path(sf_dir).parent / "sf0.01"
+    said = "' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), ' ') || ' '"
+    want = duckdb.sql(
+        f"SELECT doc_id, item_id FROM (SELECT doc_id, {said} AS d FROM '{sf_dir}/documents.parquet'), (SELECT item_id, {said} AS i FROM '{sf_dir}/benchmark.parquet') WHERE contains(d, i)"
+    ).fetchall()
+    got = decontamination.op1_benchmark_decontamination(spark, str(sf_dir)).filter("distance = 0").select("doc_id", "item_id").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_leaks(spark):
     rng = random.Random(5)
     item = sentence(rng, 20)
@@ -40,7 +73,7 @@ def test_leaks(spark):
     changed[3] = changed[11] = "other"
     far = [w if i % 3 else "other" for i, w in enumerate(item.split())]
     rows = [*EDGE, (10, f"before it {item.upper()} and after"), (11, " ".join(changed)), (12, " ".join(far)), (13, sentence(rng, 50))]
-    bench = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, None, 0), (4, "one", 0), (5, "", 0)], "item_id long, text string, doc_id int")
+    bench = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, None, 0), (4, "Two!", 0), (5, "", 0)], "item_id long, text string, doc_id int")
     found = {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(documents(spark, rows), bench).collect()}
     assert found == {(10, 1): 0, (10, 2): 0, (11, 1): 2, (11, 2): 2}
     in_blocks = decontamination.leaks(documents(spark, rows), bench, block_chars=40)
