@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .folds import fold, let
 from .text import has, is_static, lines_of, net_braces, residue, strip
 
-_BLOCK = "array<struct<type:string,body:string,start_line:int,end_line:int>>"
-_RANGES = "array<struct<s:int,e:int>>"
+_BLOCK = "struct<type:string,s:int,e:int>"
+_RANGE = "struct<s:int,e:int>"
 
 
 def _last(text: Column, what: str) -> Column:
@@ -28,56 +27,65 @@ def _body(raw: Column) -> Column:
     return F.substring(raw, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def _fold(content: Column, empty: Column, block: Callable[[str, Column, Column, Column], Column], add: Callable[[Column, Column], Column]) -> Column:
-    """Goes through the lines of content; add()s what block(kind, body, first line, last line) makes of each block.
+def _spans(lines: Column, texts: bool) -> Column:
+    """array<struct<type, s, e>> of the first and last lines of blocks of code and, if asked, of text.
 
     A line that opens a block and closes it afterwards is a block of code; else the block runs to the next line with a
     closing sign, or to the end of the text.  Each line outside of code is a block of text.
     """
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("since"), F.lit("").alias("raw"), empty.alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
-        inside, raw = acc["since"] >= 0, F.concat(acc["raw"], line)
+    def one(kind: str, first: Column, last: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("type"), first.alias("s"), last.alias("e")))
+
+    def step(at: Column, line: Column) -> tuple[Column, Column]:
+        inside = at["since"] >= 0
         closes, opens = F.contains(line, F.lit("%>")), F.contains(line, F.lit("<%"))
         whole = has(F.regexp_replace(line, r"(?s)\A.*?<%", ""), "%>")
-        done = F.when(inside & closes, block("ejs", _body(raw), acc["since"], acc["i"]))
-        done = done.when(~inside & opens & whole, block("ejs", _body(line), acc["i"], acc["i"]))
-        done = done.when(~inside & ~opens, block("text", line, acc["i"], acc["i"])).otherwise(empty)
+        done = F.when(inside & closes, one("ejs", at["since"], at["i"])).when(~inside & opens & whole, one("ejs", at["i"], at["i"]))
+        if texts:
+            done = done.when(~inside & ~opens, one("text", at["i"], at["i"]))
         goes_on = (inside & ~closes) | (~inside & opens & ~whole)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(goes_on, F.when(inside, acc["since"]).otherwise(acc["i"])).otherwise(F.lit(-1)).alias("since"),
-            F.when(goes_on, raw).otherwise(F.lit("")).alias("raw"),
-            add(acc["out"], done).alias("out"),
-        )
+        since = F.when(goes_on, F.when(inside, at["since"]).otherwise(at["i"])).otherwise(F.lit(-1))
+        return F.struct((at["i"] + 1).alias("i"), since.alias("since")), done.otherwise(F.array().cast(f"array<{_BLOCK}>"))
+
+    done = fold(lines, F.struct(F.lit(0).alias("i"), F.lit(-1).alias("since")), step, _BLOCK)
+
+    def ended(x: Column) -> Column:
+        rest = one("ejs", x["state"]["since"], x["state"]["i"] - 1)
+        return F.when(x["state"]["since"] >= 0, F.concat(x["out"], rest)).otherwise(x["out"])
+
+    return let(done, ended)
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["since"] >= 0, add(acc["out"], block("ejs", _body(acc["raw"]), acc["since"], acc["i"] - 1))).otherwise(acc["out"])
 
-    return F.aggregate(lines_of(content), start, step, finish)
+def _raw(lines: Column, b: Column) -> Column:
+    return F.array_join(F.slice(lines, b["s"] + 1, b["e"] - b["s"] + 1), "")
 
 
 def blocks_of(content: Column) -> Column:
     """array<struct<type, content, start_line, end_line, brace_delta>> of the blocks of code and text."""
 
-    def block(kind: str, body: Column, first: Column, last: Column) -> Column:
-        return F.array(F.struct(F.lit(kind).alias("type"), body.alias("body"), first.cast("int").alias("start_line"), last.cast("int").alias("end_line")))
-
-    return F.transform(
-        _fold(content, F.array().cast(_BLOCK), block, F.concat),
-        lambda b: F.struct(
-            b["type"].alias("type"),
-            F.when(b["type"] == "ejs", strip(b["body"])).otherwise(b["body"]).alias("content"),
-            b["start_line"].alias("start_line"),
-            b["end_line"].alias("end_line"),
-            F.when(b["type"] == "ejs", net_braces(b["body"])).otherwise(F.lit(0)).alias("brace_delta"),
-        ),
-    )
+    def block(lines: Column, b: Column) -> Column:
+        code = b["type"] == "ejs"
+        return let(
+            F.when(code, _body(_raw(lines, b))).otherwise(_raw(lines, b)),
+            lambda body: F.struct(
+                b["type"].alias("type"),
+                F.when(code, strip(body)).otherwise(body).alias("content"),
+                b["s"].alias("start_line"),
+                b["e"].alias("end_line"),
+                F.when(code, net_braces(body)).otherwise(F.lit(0)).alias("brace_delta"),
+            ),
+        )
+
+    return let(lines_of(content), lambda lines: F.transform(_spans(lines, texts=True), lambda b: block(lines, b)))
 
 
 def code_balance(content: Column) -> Column:
-    """Sum of the brace differences of all blocks, without making the blocks: for texts of any number of lines."""
-    return _fold(content, F.lit(0), lambda kind, body, first, last: net_braces(body) if kind == "ejs" else F.lit(0), lambda a, b: a + b)
+    """Sum of the brace differences of all blocks, without making those of text: for texts of any number of lines."""
+    return let(
+        lines_of(content),
+        lambda lines: F.aggregate(F.transform(_spans(lines, texts=False), lambda b: net_braces(_body(_raw(lines, b)))), F.lit(0), lambda a, x: a + x),
+    )
 
 
 def bad_braces(blocks: Column) -> Column:
@@ -87,20 +95,22 @@ def bad_braces(blocks: Column) -> Column:
 
 def compound_ranges(blocks: Column, n_lines: Column) -> Column:
     """array<struct<s, e>> of lines under open braces; an unclosed one runs to the last line."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("since"), F.array().cast(_RANGES).alias("out"))
 
-    def step(acc: Column, b: Column) -> Column:
-        depth = acc["depth"] + b["brace_delta"]
-        since = F.when(acc["since"].isNull() & (depth > 0), b["start_line"]).otherwise(acc["since"])
+    def step(at: Column, b: Column) -> tuple[Column, Column]:
+        depth = at["depth"] + b["brace_delta"]
+        since = F.when(at["since"].isNull() & (depth > 0), b["start_line"]).otherwise(at["since"])
         ends = (depth == 0) & since.isNotNull()
         one = F.array(F.struct(since.alias("s"), b["end_line"].alias("e")))
-        return F.struct(depth.alias("depth"), F.when(~ends, since).alias("since"), F.when(ends, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(depth.alias("depth"), F.when(~ends, since).alias("since")), F.when(ends, one).otherwise(F.array().cast(f"array<{_RANGE}>"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("since"))
+    done = fold(F.filter(blocks, lambda b: b["type"] == "ejs"), start, step, _RANGE)
 
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["since"].alias("s"), F.greatest(n_lines - 1, F.lit(0)).cast("int").alias("e")))
-        return F.when(acc["since"].isNotNull(), F.concat(acc["out"], rest)).otherwise(acc["out"])
+    def ended(x: Column) -> Column:
+        rest = F.array(F.struct(x["state"]["since"].alias("s"), F.greatest(n_lines - 1, F.lit(0)).cast("int").alias("e")))
+        return F.when(x["state"]["since"].isNotNull(), F.concat(x["out"], rest)).otherwise(x["out"])
 
-    return F.aggregate(F.filter(blocks, lambda b: b["type"] == "ejs"), start, step, finish)
+    return let(done, ended)
 
 
 def is_unclosed(blocks: Column) -> Column:

@@ -6,26 +6,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .folds import fold, let, places
 from .text import has, strip
 
-_STACK = "array<struct<tag:string,at:int>>"
-_SPANS = "array<struct<tag:string,open_start:int,close_end:int>>"
+# Open tags as one string of entries, sign name sign place: adding and cutting is then a copy of bytes.
+_ENTRY, _AT = "\x01", "\x02"
 
 
 def tag_tokens(content: Column) -> Column:
     """array<struct<tag, closes, at, end>> of all tags, in text order, places in code points."""
-    token = rf"(?s)\G(.*?)<(/?)({P.NAME}+)>"
-    gaps, slashes, names = (F.regexp_extract_all(content, F.lit(token), F.lit(n)) for n in (1, 2, 3))
-    zipped = F.arrays_zip(gaps.alias("g"), slashes.alias("s"), names.alias("n"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<tag:string,closes:boolean,at:int,end:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["end"] + F.length(x["g"])
-        end = at + F.length(x["s"]) + F.length(x["n"]) + 2
-        one = F.array(F.struct(x["n"].alias("tag"), (x["s"] == "/").alias("closes"), at.alias("at"), end.alias("end")))
-        return F.struct(end.alias("end"), F.concat(acc["out"], one).alias("out"))
+    def token(x: Column) -> Column:
+        closes = F.startswith(x["m"], F.lit("</"))
+        name = F.substring(x["m"], F.when(closes, 3).otherwise(2), F.length(x["m"]) - F.when(closes, 3).otherwise(2))
+        return F.struct(name.alias("tag"), closes.alias("closes"), x["s"].alias("at"), x["e"].alias("end"))
 
-    return F.aggregate(zipped, start, step)["out"]
+    return F.transform(places(content, rf"</?{P.NAME}+>"), token)
+
+
+def push(opened: Column, t: Column) -> Column:
+    return F.concat(opened, F.lit(_ENTRY), t["tag"], F.lit(_AT), t["at"].cast("string"))
+
+
+def pop(opened: Column, t: Column) -> Column:
+    """struct<at, left, over> of the nearest open tag of t's name: its place, the others, and those opened after it.
+    Null without one."""
+    key = F.concat(F.lit(_ENTRY), t["tag"], F.lit(_AT))
+
+    def cut(after: Column) -> Column:
+        at = F.substring_index(after, _ENTRY, 1)
+        over = F.substring(after, F.length(at) + 1, F.length(after))
+        before = F.substring(opened, F.lit(1), F.length(opened) - F.length(after) - F.length(key))
+        return F.struct(at.cast("int").alias("at"), F.concat(before, over).alias("left"), over.alias("over"))
+
+    return F.when(F.contains(opened, key), let(F.call_function("substring_index", opened, key, F.lit(-1)), cut))
+
+
+def still_open(opened: Column) -> Column:
+    """array<struct<tag, at>> of open tags, the first opened first."""
+    entries = F.filter(F.split(opened, _ENTRY, -1), lambda x: x != "")
+    return F.transform(entries, lambda x: F.struct(F.substring_index(x, _AT, 1).alias("tag"), F.substring_index(x, _AT, -1).cast("int").alias("at")))
 
 
 def tag_spans(content: Column) -> Column:
@@ -33,22 +53,19 @@ def tag_spans(content: Column) -> Column:
 
     A closing tag takes the nearest open one of its name; open tags of other names stay open.
     """
-    start = F.struct(F.array().cast(_STACK).alias("open"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        opened = acc["open"]
-        same = F.filter(F.sequence(F.lit(1), F.size(opened)), lambda i: F.element_at(opened, i)["tag"] == t["tag"])
-        at = F.when(F.size(opened) > 0, F.array_max(same))
-        pushed = F.concat(opened, F.array(F.struct(t["tag"].alias("tag"), t["at"].alias("at"))))
-        one = F.array(F.struct(t["tag"].alias("tag"), F.element_at(opened, at)["at"].alias("open_start"), t["end"].alias("close_end")))
-        left = F.filter(opened, lambda _, i: i != at - 1)
-        pops = t["closes"] & at.isNotNull()
-        return F.struct(
-            F.when(~t["closes"], pushed).when(pops, left).otherwise(opened).alias("open"),
-            F.when(pops, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
+    kind = "struct<tag:string,open_start:int,close_end:int>"
+
+    def step(opened: Column, t: Column) -> tuple[Column, Column]:
+        both = let(
+            F.struct(F.when(t["closes"], pop(opened, t)).alias("p")),
+            lambda x: F.struct(
+                F.when(~t["closes"], push(opened, t)).when(x["p"].isNotNull(), x["p"]["left"]).otherwise(opened).alias("opened"),
+                F.when(x["p"].isNotNull(), F.array(F.struct(t["tag"].alias("tag"), x["p"]["at"].alias("open_start"), t["end"].alias("close_end")))).otherwise(F.array().cast(f"array<{kind}>")).alias("out"),
+            ),
         )
+        return both["opened"], both["out"]
 
-    return F.aggregate(tag_tokens(content), start, step)["out"]
+    return fold(tag_tokens(content), F.lit(""), step, kind)["out"]
 
 
 def outermost(spans: Column) -> Column:

@@ -11,6 +11,7 @@ from promptweave.functions import blocks as B
 from promptweave.functions import patterns as P
 from promptweave.functions import tags as G
 from promptweave.functions import text as T
+from promptweave.functions.folds import fold, let
 from promptweave.operators import entries as E
 from promptweave.sources.books import chain_counts
 
@@ -131,26 +132,23 @@ def b2(text: Column) -> Column:
 def tag_rules(text: Column) -> Column:
     """C3 crossing, C4 unclosed, C5 unopened tags."""
     tokens = F.filter(G.tag_tokens(text), lambda t: ~t["tag"].isin(P.NOT_TAGS))
-    found = "array<struct<code:string,tag:string,other:string,at:int>>"
-    start = F.struct(F.array().cast("array<struct<tag:string,at:int>>").alias("open"), F.array().cast(found).alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        opened = acc["open"]
-        same = F.filter(F.sequence(F.lit(1), F.size(opened)), lambda i: F.element_at(opened, i)["tag"] == t["tag"])
-        at = F.when(F.size(opened) > 0, F.array_max(same))
-        over = F.reverse(F.filter(opened, lambda _, i: i >= at))
-        crossed = F.transform(over, lambda o: F.struct(F.lit("C3").alias("code"), o["tag"].alias("tag"), t["tag"].alias("other"), o["at"].alias("at")))
-        lone = F.array(F.struct(F.lit("C5").alias("code"), t["tag"].alias("tag"), F.lit(None).cast("string").alias("other"), t["at"].alias("at")))
-        pops = t["closes"] & at.isNotNull()
-        pushed = F.concat(opened, F.array(F.struct(t["tag"].alias("tag"), t["at"].alias("at"))))
-        return F.struct(
-            F.when(~t["closes"], pushed).when(pops, F.filter(opened, lambda _, i: i != at - 1)).otherwise(opened).alias("open"),
-            F.when(pops, F.concat(acc["out"], crossed)).when(t["closes"], F.concat(acc["out"], lone)).otherwise(acc["out"]).alias("out"),
-        )
+    kind = "struct<code:string,tag:string,other:string,at:int>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(code: str, tag: Column, other: Column | None, at: Column) -> Column:
+        return F.struct(F.lit(code).alias("code"), tag.alias("tag"), (F.lit(None).cast("string") if other is None else other).alias("other"), at.alias("at"))
+
+    def step(opened: Column, t: Column) -> tuple[Column, Column]:
+        def taken(x: Column) -> Column:
+            crossed = F.reverse(F.transform(G.still_open(x["p"]["over"]), lambda o: one("C3", o["tag"], t["tag"], o["at"])))
+            after = F.when(~t["closes"], G.push(opened, t)).when(x["p"].isNotNull(), x["p"]["left"]).otherwise(opened)
+            found = F.when(~t["closes"], none).when(x["p"].isNotNull(), crossed).otherwise(F.array(one("C5", t["tag"], None, t["at"])))
+            return F.struct(after.alias("opened"), found.alias("out"))
+
+        both = let(F.struct(F.when(t["closes"], G.pop(opened, t)).alias("p")), taken)
+        return both["opened"], both["out"]
 
-    def finish(acc: Column) -> Column:
-        rest = F.transform(acc["open"], lambda o: F.struct(F.lit("C4").alias("code"), o["tag"].alias("tag"), F.lit(None).cast("string").alias("other"), o["at"].alias("at")))
-        return F.concat(acc["out"], rest)
+    done = fold(tokens, F.lit(""), step, kind)
 
     def told(x: Column) -> Column:
         line = _line(text, x["at"])
@@ -161,7 +159,8 @@ def tag_rules(text: Column) -> Column:
         )
         return F.struct(x["code"].alias("code"), F.lit("error").alias("level"), said.alias("message"))
 
-    return F.transform(F.aggregate(tokens, start, step, finish), told)
+    all_found = let(done, lambda x: F.concat(x["out"], F.transform(G.still_open(x["state"]), lambda o: one("C4", o["tag"], None, o["at"]))))
+    return F.transform(all_found, told)
 
 
 def e1(text: Column) -> Column:
