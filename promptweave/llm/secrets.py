@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptweave.functions.folds import fold, places
+
 from .common import read_table, saved, text_or_empty
 
 #: Kinds in the order in which spans of one start are listed; the first three are found by pattern alone.
@@ -30,25 +32,40 @@ PATTERNS = {
 def spans_of(text: Column, kind: str) -> Column:
     """array<struct<s, k, e>> of a kind's spans in code points, leftmost and non-overlapping.
 
-    \\G ties every match to the end of the one before, with the text between as a group of its own: lengths give the
-    places, and what follows the last match is read once.
+    Texts without what the kind needs stop at one quick test; of the others one pass splits the text at the matches
+    and one takes them.  The group that has a least length is read from the match alone.
     """
     quick, pattern, group, least = PATTERNS[kind]
-    chained = rf"(?s)\G(.*?){pattern}"
-    before, match, asked = (F.regexp_extract_all(text, F.lit(chained), F.lit(g)) for g in (1, 2, group + 1))
-    lengths = F.transform(F.arrays_zip(before.alias("b"), match.alias("m"), asked.alias("v")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,v:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["b"]
-        span = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), (s + x["m"]).alias("e"), x["v"].alias("v"))
-        return F.struct((s + x["m"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    fits = (lambda x: x["v"] == least) if kind == "weak_secret" else (lambda x: x["v"] >= least)
-    found = F.transform(F.filter(F.aggregate(lengths, start, step)["out"], fits), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+    def size(m: Column) -> Column:
+        return F.length(m) if group == 1 else F.length(F.regexp_extract(m, pattern, group))
+
+    fits = (lambda x: size(x["m"]) == least) if kind == "weak_secret" else (lambda x: size(x["m"]) >= least)
+    found = F.transform(F.filter(places(text, pattern), fits), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
     return F.when(F.regexp_like(text, F.lit(quick)), found).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
 
+_SPAN = "struct<s:int,k:int,e:int>"
+
+
+def _clear_of(spans: Column, others: Column) -> Column:
+    """Those of spans (of one kind, after the others') that overlap none of others: one pass from each side."""
+    mine = KINDS.index("weak_secret")
+
+    def told(x: Column, overlaps: Column) -> Column:
+        return F.when((x["k"] == mine) & ~overlaps, F.array(x)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    def from_left(end: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["k"] == mine, end).otherwise(F.greatest(end, x["e"])), told(x, end > x["s"])
+
+    def from_right(start: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["k"] == mine, start).otherwise(F.least(start, x["s"])), told(x, start < x["e"])
+
+    left = fold(F.array_sort(F.concat(others, spans)), F.lit(0), from_left, _SPAN)["out"]
+    both = fold(F.reverse(F.array_sort(F.concat(others, left))), F.lit(2**31 - 1), from_right, _SPAN)["out"]
+    return F.when(F.size(spans) > 0, F.reverse(both)).otherwise(spans)
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -78,7 +95,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     scanned = docs.select("doc_id", F.xxhash64(text).alias("mark"), *[spans_of(text, k).alias(k) for k in KINDS])
     base = F.concat("assign", "access", "hex")
-    own = F.filter("weak_secret", lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    own = _clear_of(F.col("weak_secret"), base)
     scanned = scanned.select("doc_id", "mark", base.alias("base"), F.concat("weak_id", own, "endpoint").alias("weak"))
     scanned = saved(scanned, "secrets")
     parts = scanned.filter(F.size("weak") > 0).select("doc_id", "mark", F.explode(F.concat("base", "weak")).alias("span")).distinct()
