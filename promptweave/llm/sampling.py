@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_per_label(rows: DataFrame, label: str, key: Column, per_label: int, labels: int = 256) -> DataFrame:
-    """About per_label rows of each of the `labels` most frequent labels, chosen by a hash of key: the same rows on every run.
+def bounded_per_label(rows: DataFrame, label: str, key: Column, per_label: int) -> DataFrame:
+    """About per_label rows of every label, chosen by a hash of key: the same rows on every run.
 
-    One counting aggregation, no sort; a label with fewer rows is taken whole.  The labels' counts are the only thing
-    sent to the driver.
+    One counting aggregation and a join with its result, a row for each label; no sort.  A label with fewer rows is
+    taken whole.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     share = F.pmod(F.xxhash64(key.cast("string")), F.lit(1_000_003)) / 1_000_003.0
-    takes = [(F.col(label) == r[0]) & (share < min(1.0, per_label / r["count"])) for r in counts]
-    return rows.filter(reduce(lambda a, b: a | b, takes, F.lit(False)))
+    met = rows.join(counts, F.col(label) == F.col("_label")).filter(share < F.lit(per_label) / F.col("_n"))
+    return met.select(*rows.columns)

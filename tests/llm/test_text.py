@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import time
 from pathlib import Path
@@ -163,6 +164,53 @@ def test_forward_backward_in_chunks():
         at += n
 
 
+def by_enumeration(e, a):
+    """Posteriors of labels and of neighbours' labels, and their gradient's terms, by all ways to label the words."""
+    n, k = e.shape
+    one, two, total = np.zeros((n, k)), np.zeros((n - 1, k, k)), 0
+    for path in itertools.product(range(k), repeat=n):
+        w = a[:, path[0]].mean() * e[0, path[0]]
+        for t in range(1, n):
+            w *= a[path[t - 1], path[t]] * e[t, path[t]]
+        total += w
+        for t in range(n):
+            one[t, path[t]] += w
+        for t in range(n - 1):
+            two[t, path[t], path[t + 1]] += w
+    return one / total, two / total
+
+
+def test_pair_posteriors_against_enumeration():
+    rng = np.random.default_rng(4)
+    e, a = rng.random((6, 3)) ** 3, rng.random((3, 3)) ** 3
+    alpha, beta = language_id.Chain(e, np.array([6]), a).run()
+    one, two = by_enumeration(e, a)
+    assert np.allclose(language_id.posteriors(alpha, beta), one)
+    assert np.allclose(language_id.pair_posteriors(alpha, beta, e, a, np.arange(5)), two)
+
+
+def test_blocks_of_a_long_document_change_nothing():
+    sample = [("en", "the cat and the dog".split())] * 40 + [("fr", "le chat et le chien".split())] * 40
+    field = language_id.fit_field(sample)
+    rng = random.Random(3)
+    words = [w for _ in range(60) for w in rng.choice(["the cat and the dog", "le chat et le chien"]).split()] * 3
+    whole = language_id.Labeller(field).short([words])[0]
+    cut = language_id.Labeller(field, block=37).long(words)
+    assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all()
+    texts = [words[:5], [], words, words[5:50]]
+    for i, total, own in language_id.Labeller(field, block=50).labelled(texts):
+        want = language_id.Labeller(field).short([texts[i]])[0]
+        assert np.allclose(total, want[0]) and (own == want[1]).all()
+
+
+def test_every_label_is_learned(spark):
+    """More languages than a hundred, each with a word of its own."""
+    rows = [(k * 10 + i, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} xx", f"l{k:03d}") for k in range(260) for i in range(2)]
+    docs = documents(spark, [(10_000 + d, t, lang) for d, t, lang in rows])
+    assert language_id.bounded_per_label(docs, "lang", F.col("doc_id"), 300).select("lang").distinct().count() == 260
+    assert language_id.bounded_per_label(docs, "lang", F.col("doc_id"), 1).count() < 400
+
+
 def test_language_features_know_their_word():
     owners, found = language_id.features(["ab", "é", "ab"])
     assert list(np.sort(found[owners == 0])) == list(np.sort(found[owners == 2]))
@@ -198,6 +246,26 @@ def test_code_switching_is_labelled_by_word():
     assert list(p.argmax(axis=1)) == [0] * 5 + [1] * 5
 
 
+def test_runs_of_code_switched_documents(spark):
+    """Held-out words: each half of a text is labelled with its language, and the document columns follow from the runs."""
+    rng = random.Random(7)
+    english, french = ["theing", "shing", "wason", "ingly", "andthe"], ["réeux", "éelle", "quement", "auxet", "leçon"]
+
+    def words(stems, n):
+        return " ".join(rng.choice(stems) + rng.choice(["", "a", "o", "re"]) for _ in range(n))
+
+    rows = [(100 + i, words(english, 40), "en") for i in range(60)] + [(300 + i, words(french, 40), "fr") for i in range(60)]
+    rows += [(1000 + i, words(english, 30) + ". " + words(french, 20), None) for i in range(20)]
+    got = {r.doc_id: r for r in language_id.languages(documents(spark, rows)).collect()}
+    right = 0
+    for i in range(1000, 1020):
+        labels = [r.lang for r in got[i].runs for _ in range(r.words)]
+        assert len(labels) == 50 and [r.first for r in got[i].runs] == [sum(x.words for x in got[i].runs[:k]) for k in range(len(got[i].runs))]
+        right += sum(a == b for a, b in zip(labels, ["en"] * 30 + ["fr"] * 20))
+        assert got[i].lang_pred == "en" and 0.5 <= got[i].score <= 0.7
+    assert right >= 0.97 * 1000
+
+
 def xor_sample(n=1500):
     """Either of two terms tells, both or none does not: each alone is as frequent in either class."""
     rng = np.random.default_rng(0)
