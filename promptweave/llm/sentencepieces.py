@@ -10,6 +10,10 @@ A path through a document is a sequence of tokens.  A step from token a to token
 The state at a chunk border is the token that reaches or crosses it and where that token ends.  Each chunk yields a
 matrix of the best weight from every state at its left border to every state at its right one; matrices combine
 associatively; the states on the best path then let every chunk be backtraced alone.
+
+Where no piece of a BPE model holds a blank behind another character, every path has a border at each beginning of a
+word, and what stands before does not matter behind it.  There all states are one, so a chunk of spaced text is the
+product of its words' matrices, each of one cell; a word's own scan is made once and kept.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -27,12 +32,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import read_table, saved, small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk.  Longer documents are giant.
 CHUNK = 16_384
+#: Chunks whose matrices are multiplied in one task.
+FAN = 256
 SPACE = "▁"
+_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Character that no text can hold: the start of a document.
 _NONE = ""
 
@@ -55,6 +63,7 @@ class Model:
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.bytes = {b: lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.weight = lru_cache(1 << 18)(self._weight)
+        self.word_ids = lru_cache(1 << 18)(self._word_ids)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored pair first, of equal ones the leftmost."""
@@ -126,8 +135,11 @@ class Model:
                         at[to] = (w + step, s, t)
         return reach
 
-    def encode_whole(self, text: str) -> list[int]:
-        return self.lib.encode(text, num_threads=1)
+    def _word_ids(self, word: str) -> list[int]:
+        """Ids of a word between two places where words begin, by its own scan."""
+        reach = self.spread(word, (_NONE, 0), len(word))[len(word)]
+        goal = max(reach.items(), key=lambda x: (x[1][0], x[0]))[0]
+        return [i for t in _walk(self, word, (_NONE, 0), len(word), goal) for i in self.ids_of(t)]
 
 
 def _cuts(model: Model, body: str, left: str) -> tuple[int, int] | None:
@@ -178,8 +190,9 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def border_states(matrices: list[Matrix]) -> list[State]:
-    """The states on the best path at borders 0 .. n: products up a balanced tree, choices down it."""
+def border_states(matrices: list[Matrix], start: State = (_NONE, 0), goal: State | None = None) -> list[State]:
+    """The states on the best path from start (to goal, if given) at borders 0 .. n: products up a balanced tree, choices
+    down it."""
 
     def build(i: int, j: int) -> tuple:
         if j - i == 1:
@@ -195,8 +208,7 @@ def border_states(matrices: list[Matrix]) -> list[State]:
         return choose(node[1], s, mid) + choose(node[2], mid, t)
 
     root = build(0, len(matrices))
-    start = (_NONE, 0)
-    last = max(root[0][start].items(), key=lambda x: (x[1], x[0]))[0]
+    last = goal or max(root[0][start].items(), key=lambda x: (x[1], x[0]))[0]
     return [start, *choose(root, start, last)]
 
 
@@ -222,9 +234,7 @@ def backtrace(model: Model, left: str, body: str, right: str, start: State, goal
     if start[1] < first:
         head_end = max(model.spread(body[:first], start, first)[first].items(), key=lambda x: (x[1][0], x[0]))[0]
         head = _walk(model, body[:first], start, first, head_end)
-    middle = model.encode_whole(body[first + 1 : last].replace(SPACE, " ")) if last > first else []
-    if last > first and last == first + 1:
-        middle = model.ids_of(SPACE)
+    middle = [i for word in _WORDS.findall(body, first, last) for i in model.word_ids(word)]
     tail = _walk(model, body[last:] + right, (_NONE, 0), n - last, (goal[0], goal[1] - last))
     return [i for t in head for i in model.ids_of(t)] + middle + [i for t in tail for i in model.ids_of(t)]
 
@@ -283,15 +293,38 @@ def _matrix_batches(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value, kind)
         for batch in batches:
-            found = [json.dumps([[list(s), [[*t, w] for t, w in to.items()]] for s, to in transfer(model, r["before"], r["body"], r["after"]).items()]) for r in batch.to_pylist()]
+            found = [_packed(transfer(model, r["before"], r["body"], r["after"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, pa.string())], ["key", "no", "matrix"])
 
     return run
 
 
-def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
+def _packed(matrix: Matrix) -> str:
+    return json.dumps([[list(s), [[*t, w] for t, w in to.items()]] for s, to in matrix.items()])
+
+
+def _unpacked(said: str) -> Matrix:
+    return {tuple(s): {(t, e): w for t, e, w in to} for s, to in json.loads(said)}
+
+
+def _block_product(rows: pd.DataFrame) -> pd.DataFrame:
+    """The product of the matrices of a block of chunks."""
     rows = rows.drop_duplicates("no").sort_values("no")  # a document in the table twice has its chunks twice
-    states = border_states([{tuple(s): {(t, e): w for t, e, w in to} for s, to in json.loads(m)} for m in rows["matrix"]])
+    return pd.DataFrame({"key": rows["key"].values[:1], "block": rows["block"].values[:1], "matrix": [_packed(reduce(product, map(_unpacked, rows["matrix"])))]})
+
+
+def _block_ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """The states at both borders of every block of a document."""
+    rows = rows.sort_values("block")
+    states = border_states([_unpacked(m) for m in rows["matrix"]])
+    return pd.DataFrame({"key": rows["key"].values, "block": rows["block"].values, "ends": [json.dumps([a, b]) for a, b in zip(states, states[1:])]})
+
+
+def _chunk_ends(rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    """The states at both borders of every chunk of a block, between those of the block."""
+    rows = rows.drop_duplicates("no").sort_values("no")
+    start, goal = (tuple(x) for x in json.loads(ends["ends"].iloc[0]))
+    states = border_states([_unpacked(m) for m in rows["matrix"]], start, goal)
     return pd.DataFrame({"at": rows["key"].values, "nth": rows["no"].values, "ends": [json.dumps([a, b]) for a, b in zip(states, states[1:])]})
 
 
@@ -339,15 +372,16 @@ def _join_batches(with_ids: bool):
     return run
 
 
-def encoded(docs: DataFrame, model_path: str = MODEL_PATH, kind: str = "bpe", chunk: int = CHUNK, with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str = MODEL_PATH, kind: str = "bpe", chunk: int = CHUNK, fan: int = FAN, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, n_tokens, ids_sha256, round_trip and, if asked, ids.
 
     ids_sha256 is of the ids as little-endian 32-bit numbers; round_trip tells whether decoding gives the text back
     (it does not where a text itself holds the model's blank sign U+2581).  Null text counts as empty and has no ids;
     repeated rows are each returned; an empty table gives no rows.  Documents of at most `chunk` characters are one
     chunk and stay in the scan's task; the chunks of longer ones are dealt over the cluster.  The model file is read
-    on the driver and its bytes are broadcast, so executors need no copy of it.  The chunks of one document meet again
-    only as ids.  Unigram models always go through the scan.
+    on the driver and its bytes are broadcast, so executors need no copy of it.  Chunks are written once; their matrices
+    are multiplied in blocks of `fan`, then the blocks'; the chunks of one document meet again only as ids.  Unigram
+    models always go through the scan.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -358,9 +392,12 @@ def encoded(docs: DataFrame, model_path: str = MODEL_PATH, kind: str = "bpe", ch
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = F.length("text") <= (chunk if kind == "bpe" else 0)
     small = rows.filter(whole).mapInArrow(_encode_small(shared, kind, with_ids), _schema(with_ids))
-    chunks = rows.filter(~whole).mapInArrow(_cut_batches(longest, chunk), _CHUNKS).repartition("key", "no")
+    chunks = saved(rows.filter(~whole).mapInArrow(_cut_batches(longest, chunk), _CHUNKS).repartition("key", "no"), "chunks")
     matrices = chunks.mapInArrow(_matrix_batches(shared, kind), "key string, no int, matrix string")
-    ends = matrices.groupBy("key").applyInPandas(_resolve, "at string, nth int, ends string")
+    matrices = saved(matrices.withColumn("block", F.floor(F.col("no") / fan).cast("int")), "matrices")
+    blocks = matrices.groupBy("key", "block").applyInPandas(_block_product, "key string, block int, matrix string")
+    tops = blocks.groupBy("key").applyInPandas(_block_ends, "key string, block int, ends string")
+    ends = matrices.groupBy("key", "block").cogroup(tops.groupBy("key", "block")).applyInPandas(_chunk_ends, "at string, nth int, ends string")
     told = chunks.join(ends, (F.col("key") == F.col("at")) & (F.col("no") == F.col("nth")))
     parts = told.mapInArrow(_trace_batches(shared, kind), _PARTS)
     parts = parts.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "n_chars", "whole", "packed"))).alias("parts"))

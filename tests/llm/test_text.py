@@ -112,6 +112,32 @@ def test_scan_equals_the_models_own_encoding(model):
         assert in_chunks(model, text, size) == model.lib.encode(text), (text, size)
 
 
+def test_states_at_a_border_matter(model):
+    """Text without blanks, cut anywhere: matrices of several rows that differ, and the product chooses among them."""
+    text = "includegraphicsrepresentationtransformation" * 3
+    marked = sentencepieces.SPACE + text
+    parts = [(marked[max(0, i - model.longest) : i], marked[i : i + 10], marked[i + 10 : i + 10 + model.longest]) for i in range(0, len(marked), 10)]
+    matrices = [sentencepieces.transfer(model, *p) for p in parts]
+    assert any(len({tuple(sorted(to)) for to in m.values()}) > 1 for m in matrices)
+    states = sentencepieces.border_states(matrices)
+    halves = [sentencepieces.border_states(matrices[:5], goal=states[5]), sentencepieces.border_states(matrices[5:], states[5], states[-1])]
+    assert halves[0] + halves[1][1:] == states
+    assert in_chunks(model, text, 10) == model.lib.encode(text)
+
+
+def test_scan_of_a_giant_text_does_not_ask_the_library(model):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(WORDS) for _ in range(30_000))
+    want = model.lib.encode(text)
+
+    class Own(sentencepieces.Model):
+        pass
+
+    own = Own(model.lib.serialized_model_proto())
+    own.lib = None
+    assert in_chunks(own, text, 16_384) == want
+
+
 def test_scan_of_a_unigram_model_is_viterbi(model):
     uni = sentencepieces.Model(model.lib.serialized_model_proto(), "unigram")
     rng = random.Random(6)
@@ -135,7 +161,7 @@ def test_product_is_associative(model):
 
 def test_encoding_of_documents(spark, model):
     rows = [*EDGE, (20, "中文字 x" * 30), (20, "中文字 x" * 30), (None, "a giant one " * 20)]
-    got = sentencepieces.encoded(documents(spark, rows), chunk=50)
+    got = sentencepieces.encoded(documents(spark, rows), chunk=50, fan=3)
     seen = sorted((str(r.doc_id), r.n_chars, r.ids_sha256, tuple(r.ids), r.round_trip) for r in got.collect())
     want = []
     for d, t in rows:
