@@ -16,13 +16,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, read_table, saved, small_batches
+from .common import dropped, read_table, saved, small_batches
 
 WINDOW = 50
 KMER = 16
 #: Words that are hashed at a time; a longer document is one block of its own.
 BLOCK_WORDS = 400_000
+#: Most places of a source that are read at a time.
+ASKED = 10_000
+#: Bits of the map of documents that are a source.
+MAP_BITS = 1 << 23
 _BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: powers differ in all but few low bits
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CACHE = 1_000_000
@@ -35,9 +40,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of runs of words in a list of documents, each run in constant time."""
+    """Hashes, of 64 bits if not asked for fewer, of runs of words in a list of documents, each run in constant time."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int = 64) -> None:
+        self.spare = np.uint64(64 - bits)
         self.known: dict[bytes, int] = {}
         self.power = self.inverse = np.ones(1, np.uint64)
 
@@ -64,7 +70,7 @@ class Hasher:
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * self.power[: len(words)], dtype=np.uint64)))
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64)) >> self.spare
 
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -118,9 +124,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _path_batches(window: int, kmer: int):
+def _path_batches(window: int, kmer: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(bits)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for rows, texts in _blocks(batch):
@@ -134,11 +140,12 @@ def _path_batches(window: int, kmer: int):
     return run
 
 
-def _edge_batches(window: int):
-    """Rows with text and `at`, the paths to take apart: a row for each of their windows."""
+def _edge_batches(window: int, bits: int):
+    """Rows with text and `at`, the paths to take apart: a row for each of their windows.  Of several texts under one
+    doc_id each has the windows that fit into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(bits)
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), batch.column("at").to_pylist()
             for rows, texts in _blocks(batch):
@@ -146,10 +153,12 @@ def _edge_batches(window: int):
                 base, starts, marks, docs = 0, [], [], []
                 for i, t in zip(rows, texts):
                     for p in at[i]:
-                        n = p["last"] - p["first"] + 1
-                        starts.append(np.arange(base + p["first"], base + p["last"] + 1))
+                        n = min(p["last"], len(t) - window) - p["first"] + 1
+                        if n <= 0:
+                            continue
+                        starts.append(np.arange(base + p["first"], base + p["first"] + n))
                         marks.append(np.full(n, p["mark"], np.int64))
-                        docs.append(np.stack((np.full(n, ids[i], np.int64), np.arange(p["first"], p["last"] + 1)), axis=1))
+                        docs.append(np.stack((np.full(n, ids[i], np.int64), np.arange(p["first"], p["first"] + n)), axis=1))
                     base += len(t)
                 if not starts:
                     continue
@@ -160,11 +169,28 @@ def _edge_batches(window: int):
     return run
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with text and `asked`, places (t, n) in it: the digest of the words that stand there."""
+    for batch in batches:
+        rows = []
+        for doc_id, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked"))):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            rows += [(doc_id, x["t"], x["n"], _digest(words[x["t"] : x["t"] + x["n"]])) for x in asked]
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["source", "t", "n", "digest"])
+
+
 def _cut_text(words: list[bytes], spans: list | None) -> tuple[int, bytes]:
+    """The number of words that spans cover, and the rest.  A span whose words are not the source's covers none."""
     gone = np.zeros(len(words) + 1, np.int64)
-    for s in spans or ():
-        gone[s["s"]] += 1
-        gone[s["e"]] -= 1
+    for x in spans or ():
+        if x["e"] <= len(words) and _digest(words[x["s"] : x["e"]]) in x["digests"]:
+            gone[x["s"]] += 1
+            gone[x["e"]] -= 1
     covered = np.cumsum(gone)[:-1] > 0
     return int(covered.sum()), b" ".join(w for w, c in zip(words, covered.tolist()) if not c)
 
@@ -188,49 +214,85 @@ def _keep_batches(keep_text: bool):
     return run
 
 
-def _repeated(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """rows: all paths.  Spans (doc_id, s, e, source) of words under windows that start in the smaller doc_id source too."""
+def _repeated(rows: DataFrame, texts: DataFrame, window: int, bits: int) -> DataFrame:
+    """rows: all paths.  Spans (doc_id, s, e, source, t) of words under windows that start in the smaller doc_id source
+    too, at its word t."""
     # Minimizers of two documents or more; all others are done with.  Aggregates are written before they are joined:
     # then both sides of each join come straight from a shuffle, and Spark splits a hot key's partition.
-    shared = rows.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
-    met = saved(rows.join(saved(shared, "shared"), "mark"), "paths")
-    sources = saved(met.groupBy("mark", "content").agg(F.min("doc_id").alias("source")), "sources")
+    at = F.min(F.struct("doc_id", "first"))
+    shared = saved(rows.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark"), "shared")
+    met = saved(rows.join(shared, "mark"), "paths")
+    dropped(rows, shared)
+    sources = saved(met.groupBy("mark", "content").agg(at.alias("at")).select("mark", "content", F.col("at.doc_id").alias("source"), F.col("at.first").alias("t")), "sources")
     branches = saved(sources.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"), "branches")
     told = met.join(sources, ["mark", "content"])
-    whole = told.filter("source < doc_id").select("doc_id", F.col("first").alias("s"), (F.col("last") + window).alias("e"), "source")
+    whole = told.filter("source < doc_id").select("doc_id", F.col("first").alias("s"), (F.col("last") + window).alias("e"), "source", "t")
     # The first document of a path may share some of the path's edges with others at a branch: take it apart.
     open_paths = told.filter("source = doc_id").join(branches, "mark")
     parts = open_paths.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "first", "last")).alias("at"))
     edges = texts.join(parts, F.col("doc_id") == F.col("id"), "left").filter("at is not null").select("doc_id", "text", "at")
-    edges = saved(edges.mapInArrow(_edge_batches(window), "mark long, content long, doc_id long, first int"), "edges")
-    first_of = edges.groupBy("mark", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).filter("source < high").select("mark", "content", "source")
-    single = edges.join(saved(first_of, "first-edges"), ["mark", "content"]).filter("source < doc_id")
-    return whole.unionByName(single.select("doc_id", F.col("first").alias("s"), (F.col("first") + window).alias("e"), "source"))
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """doc_id, s, e, source: runs of words s .. e - 1 of a document that stand in the document source as well, which has
-    the smallest id of all that hold them.  Runs of one document may overlap.  Null ids and texts have none."""
+    edges = saved(edges.mapInArrow(_edge_batches(window, bits), "mark long, content long, doc_id long, first int"), "edges")
+    first_of = edges.groupBy("mark", "content").agg(at.alias("at"), F.max("doc_id").alias("high")).filter("at.doc_id < high")
+    first_of = saved(first_of.select("mark", "content", F.col("at.doc_id").alias("source"), F.col("at.first").alias("t")), "first-edges")
+    single = edges.join(first_of, ["mark", "content"]).filter("source < doc_id")
+    single = single.select("doc_id", F.col("first").alias("s"), (F.col("first") + window).alias("e"), "source", "t")
+    spans = saved(_joined(whole.unionByName(single)), "spans")
+    dropped(met, sources, branches, edges, first_of)
+    return spans
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans of one document that stand as far apart in one source, where they touch, as one: a run of edges becomes one
+    path again."""
+    line = Window.partitionBy("doc_id", "source", F.col("s") - F.col("t")).orderBy("s", "e")
+    before = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("s") <= before, 0).otherwise(1)
+    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy("doc_id", "source", (F.col("s") - F.col("t")).alias("off"), "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return found.select("doc_id", "s", "e", "source", (F.col("s") - F.col("off")).alias("t"))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = 64) -> DataFrame:
+    """doc_id, s, e, source, t: runs of words s .. e - 1 of a document that by their hashes stand in the document source
+    as well, from its word t on; source has the smallest id of all that hold them.  Runs of one document may overlap.
+    Null ids and texts have none."""
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    rows = texts.filter("doc_id is not null").mapInArrow(_path_batches(window, kmer), "mark long, content long, doc_id long, first int, last int")
-    return _repeated(saved(rows, "all-paths"), texts, window)
+    rows = texts.filter("doc_id is not null").mapInArrow(_path_batches(window, kmer, bits), "mark long, content long, doc_id long, first int, last int")
+    return _repeated(saved(rows, "all-paths"), texts, window, bits)
 
 
-def verified(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """spans with the column holds: the words of the run, read at its coordinates, do stand in the source's text.
+def verifiable(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """spans with digests: of the words at the source's coordinates, read from the source's text (one for each text
+    under its doc_id).  Whoever removes a span compares them with its own words.
 
-    An audit of hashes by the texts themselves; it reads both texts of every span.
+    Each place of a source is read once, however many documents repeat it; only texts that are a source are dealt, and
+    a source with very many places is read in pieces.
     """
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")
-    sides = docs.select(F.col("doc_id").alias("_id"), words.alias("_words"))
-    own = spans.join(sides, F.col("doc_id") == F.col("_id")).withColumn("_run", F.slice("_words", F.col("s") + 1, F.col("e") - F.col("s"))).drop("_id", "_words")
-    there = own.join(sides, F.col("source") == F.col("_id"))
-    padded = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-    return there.withColumn("holds", F.contains(padded, F.concat(F.lit(" "), F.array_join("_run", " "), F.lit(" ")))).drop("_id", "_words", "_run")
-
-
-def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, keep_text: bool = True) -> DataFrame:
+    asked = saved(spans.select("source", "t", (F.col("e") - F.col("s")).alias("n")).distinct(), "asked")
+    sizes = saved(asked.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("pieces")), "sizes")
+    parts = asked.join(sizes, "source").withColumn("piece", F.pmod(F.xxhash64("t", "n"), F.col("pieces")))
+    parts = parts.groupBy("source", "piece").agg(F.collect_list(F.struct("t", "n")).alias("asked"))
+    read = texts_of(docs, sizes.select(F.col("source").alias("doc_id"))).join(parts, F.col("doc_id") == F.col("source")).select("doc_id", "text", "asked")
+    digests = read.mapInArrow(_source_batches, "source long, t int, n int, digest binary").groupBy("source", "t", "n").agg(F.collect_set("digest").alias("digests"))
+    digests = saved(digests, "digests")
+    dropped(asked, sizes)
+    there = (F.col("spans.source") == F.col("d.source")) & (F.col("spans.t") == F.col("d.t")) & (F.col("e") - F.col("s") == F.col("d.n"))
+    return spans.alias("spans").join(digests.alias("d"), there).select("spans.*", "d.digests")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows with one of the ids, and a few more: a map of bits of a fixed size spares most others
+    the shuffle."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    bits = ids.select(F.shiftright(place, 15).alias("k"), place.bitwiseAND(32767).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    cells = docs.select("doc_id", "text", F.shiftright(place, 15).alias("k"), place.bitwiseAND(32767).alias("p"))
+    # At most MAP_BITS / 2^15 rows of 4 KB.
+    met = cells.join(F.broadcast(bits.withColumnRenamed("k", "k2")), F.col("k") == F.col("k2"))
+    return met.filter("getbit(cast(conv(hex(substring(bits, cast(p div 8 as int) + 1, 1)), 16, 10) as int), cast(p % 8 as int)) = 1").select("doc_id", "text")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, keep_text: bool = True, bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked, kept.
 
     Words are runs of characters other than blank and 0x09-0x0D.  A word is removed where it is covered by a window of
@@ -239,13 +301,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, kee
     null doc_id is neither smaller nor larger than another, so its row stays whole; rows repeated under one doc_id are
     no smaller than each other and are each returned; an empty table gives no rows.
 
-    Windows are compared by two 64-bit hashes, of the minimizer and of the whole content.  Per window only those at
-    branches move; per path 32 bytes; every grouping is a minimum that combines on the map side, so a passage that a
-    third of the corpus shares stays one row per task.
+    Windows meet by two hashes, of the minimizer and of the whole content; then each span is verified: its words'
+    digest is compared with that of the words at the source's coordinates.  Per window only those at branches move;
+    per path 32 bytes; every grouping is a minimum that combines on the map side, so a passage that a third of the
+    corpus shares stays one row per task.
     """
     texts = docs.select("doc_id", "text")
-    spans = repeated_spans(docs, window, kmer).select("doc_id", "s", "e").distinct()
-    spans = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = verifiable(repeated_spans(docs, window, kmer, bits), docs)
+    spans = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e", "digests")).alias("spans"))
     joined = texts.join(spans, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_keep_batches(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
 

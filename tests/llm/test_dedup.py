@@ -4,7 +4,7 @@ import re
 
 import pytest
 import xxhash
-from helpers import EDGE, documents, sentence
+from helpers import EDGE, documents, same_as_sql, sentence
 
 from promptweave.llm import components, exact_dedup, simhash, substring_dedup
 
@@ -140,10 +140,46 @@ def test_repeats(spark, seed):
 def test_spans_hold_at_their_sources(spark):
     rng = random.Random(5)
     pieces = [sentence(rng, rng.randint(5, 40), "abc") for _ in range(8)]
-    docs = documents(spark, [(i, "\t".join(rng.choice(pieces) for _ in range(6))) for i in range(40)])
-    spans = substring_dedup.repeated_spans(docs, window=10, kmer=4)
-    found = substring_dedup.verified(spans, docs).collect()
-    assert found and len(found) == spans.count() and all(r.holds and r.source < r.doc_id for r in found)
+    rows = [(i, "\t".join(rng.choice(pieces) for _ in range(6))) for i in range(40)]
+    words = {d: t.split() for d, t in rows}
+    spans = substring_dedup.repeated_spans(documents(spark, rows), window=10, kmer=4)
+    found = substring_dedup.verifiable(spans, documents(spark, rows)).collect()
+    assert found and len(found) == spans.count()
+    for r in found:
+        own = words[r.doc_id][r.s : r.e]
+        assert r.source < r.doc_id and len(own) == r.e - r.s and own == words[r.source][r.t : r.t + len(own)]
+        assert [bytes(x) for x in r.digests] == [hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest()]
+
+
+def test_colliding_hashes_remove_nothing_wrong(spark):
+    """With hashes of six bits nearly all windows meet wrongly; the words at the source's coordinates tell."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 30, "abcdefgh")) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    for bits in (4, 6, 64):
+        got = {r.doc_id: r.n_removed for r in substring_dedup.without_repeats(documents(spark, rows), window=8, kmer=3, bits=bits).collect()}
+        assert all(got[i] == 0 for i in range(30)) and all(got[100 + i] <= 30 for i in range(10))
+    assert all(got[100 + i] == 30 for i in range(10))
+
+
+def test_texts_under_one_id_are_judged_by_their_own_words(spark):
+    rng = random.Random(2)
+    a, b, c = (sentence(rng, 40, "abcdefgh") for _ in range(3))
+    rows = [(1, a), (2, b), (7, a + " " + c), (7, c), (7, c + " " + b)]
+    got = sorted(tuple(r) for r in substring_dedup.without_repeats(documents(spark, rows), window=8, kmer=3).select("doc_id", "n_words", "n_removed").collect())
+    assert got == [(1, 40, 0), (2, 40, 0), (7, 40, 0), (7, 80, 40), (7, 80, 40)]
+
+
+def test_repeats_twin_on_planted_texts(spark, tmp_path):
+    rng = random.Random(6)
+    pieces = [" ".join(rng.choice("abcd") for _ in range(rng.randint(20, 90))) for _ in range(6)]
+    texts = [None, "", *(rng.choice([" ", "\n", "\t "]).join(rng.choice(pieces) for _ in range(rng.randint(0, 5))) for _ in range(40))]
+    same_as_sql(spark, tmp_path, "op2_substring_dedup", texts)
+
+
+def test_exact_twin_on_planted_texts(spark, tmp_path):
+    rng = random.Random(6)
+    same_as_sql(spark, tmp_path, "op8_exact_dedup", [None, "", " ", *("".join(rng.choice("ab \n") for _ in range(rng.randint(0, 6))) for _ in range(200))])
 
 
 def test_repeats_edge_rows(spark):
