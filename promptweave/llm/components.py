@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -15,22 +15,28 @@ def _sign(edges: DataFrame) -> tuple:
 
 
 def _star(pairs: DataFrame, link_self: bool) -> DataFrame:
-    """pairs (u, v): hang every v, and u itself if asked, under the least of u and its v's."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("lowest")).select("u", F.least("u", "lowest").alias("m"))
+    """pairs (u, v), a written table: hang every v, and u itself if asked, under the least of u and its v's.
+
+    The least ones are written before they are joined: then both sides of the join come straight from a shuffle, and
+    Spark splits the partition of a hot u.
+    """
+    least = saved(pairs.groupBy("u").agg(F.min("v").alias("lowest")).select("u", F.least("u", "lowest").alias("m")), "least")
     members = pairs.filter("v > u") if not link_self else pairs
     hung = members.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     if link_self:
         hung = hung.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    return hung.filter("a < b").distinct()
+    hung = saved(hung.filter("a < b").distinct(), "edges")
+    dropped(least)
+    return hung
 
 
 def component_roots(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): root is the least node reachable from node.
 
-    Alternating large and small stars until the edge set no longer changes; O(log n) rounds in practice.  Each
-    round is two aggregations that combine on the map side and two equi-joins whose hot keys adaptive execution
-    can split, so a star of any degree stays distributed.  Every round is a written table.  Nodes without an edge
-    do not appear; null ends and self loops are ignored; repeated edges count once; no edges give no rows.
+    Alternating large and small stars until the edge set no longer changes; O(log n) rounds in practice.  Each round
+    is two aggregations that combine on the map side and two equi-joins of written tables, whose hot keys adaptive
+    execution splits, so a star of any degree stays distributed.  Nodes without an edge do not appear; null ends and
+    self loops are ignored; repeated edges count once; no edges give no rows.
     """
     now = saved(
         edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
@@ -40,7 +46,9 @@ def component_roots(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.selectExpr("a as u", "b as v").unionByName(now.selectExpr("b as u", "a as v"))
         large = _star(both, link_self=False)
-        now = saved(_star(large.selectExpr("b as u", "a as v"), link_self=True), "edges")
+        small = _star(large.selectExpr("b as u", "a as v"), link_self=True)
+        dropped(now, large)
+        now = small
         before, mark = mark, _sign(now)
         if before == mark:
             break

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, small_batches
+from .common import dropped, read_table, saved, small_batches
 from .components import component_roots
 
 SHINGLE_WORDS = 4
@@ -182,7 +182,8 @@ def near_links(marks: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> Da
     corpus.
     """
     rows = shard_rows(marks)
-    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written before it is joined, so that both sides come straight from a shuffle and Spark splits a hot shard.
+    sizes = saved(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shards")
     dealt = rows.join(sizes, "shard").withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
     dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     dealt = dealt.select("shard", "piece", "fp", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
@@ -191,6 +192,18 @@ def near_links(marks: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> Da
     return dealt.mapInArrow(_link_batches(radius), "a long, b long")
 
 
+def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes (node, least_id) and (node, root) of those with links -> (node, component_id): the least id of a class.
+
+    Each table is written before the next join, so that a class of any size is split over tasks.
+    """
+    placed = saved(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    names = saved(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
+    classes = saved(placed.join(names, "root").select("node", "component_id"), "classes")
+    dropped(placed, names)
+    return classes
+
+
 def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id.
 
@@ -203,10 +216,9 @@ def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     marks = saved(fingerprints(docs), "fingerprints")
     nodes = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = component_roots(near_links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_mark = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return marks.join(saved(by_mark, "classes"), "fp").select("doc_id", "fp", "component_id")
+    classes = named(nodes.withColumnRenamed("fp", "node"), roots.withColumnRenamed("fp", "node"))
+    dropped(nodes)
+    return marks.join(classes.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
