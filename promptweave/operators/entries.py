@@ -55,7 +55,7 @@ def default_fields() -> dict[str, object]:
     return {
         "uid": None, "key": [], "keysecondary": [], "comment": "", "content": "", "constant": False, "disable": False,
         "selective": True, "selectiveLogic": 0, "order": 100, "position": 0, "depth": 4, "role": None, "probability": 100,
-        "useProbability": False, "sticky": 0, "cooldown": 0, "delay": 0, "scanDepth": None, "caseSensitive": None,
+        "useProbability": True, "sticky": 0, "cooldown": 0, "delay": 0, "scanDepth": None, "caseSensitive": None,
         "matchWholeWords": None, "useGroupScoring": None, "matchPersonaDescription": False, "matchCharacterDescription": False,
         "matchCharacterPersonality": False, "matchCharacterDepthPrompt": False, "matchScenario": False, "matchCreatorNotes": False,
         "excludeRecursion": False, "preventRecursion": False, "delayUntilRecursion": 0, "ignoreBudget": False, "group": "",

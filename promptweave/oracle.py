@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from promptweave.functions import patterns as P
-from promptweave.views import ENTRIES_SQL
+from promptweave.views import ENTRIES_SQL, FLAWED_SQL
 
 
 def q(text: str) -> str:
@@ -61,6 +61,11 @@ FULL = """full_entries AS (
   SELECT book_id, seq, uid, comment, content, ord, position, depth, constant, disable, CAST([] AS VARCHAR[]) AS key, CAST(NULL AS INT) AS role,
     100 AS probability, false AS use_probability, 0 AS sticky, 0 AS cooldown, 0 AS delay FROM entries
 )"""
+#: Both for the view with planted mistakes.
+FLAWED = f"""entries AS ({FLAWED_SQL}), full_entries AS (
+  SELECT book_id, seq, uid, comment, content, ord, position, depth, constant, disable, CASE WHEN keyed THEN ['k'] ELSE CAST([] AS VARCHAR[]) END AS key, CAST(NULL AS INT) AS role,
+    probability, use_probability, 0 AS sticky, 0 AS cooldown, 0 AS delay FROM entries
+)"""
 COLUMNS = "book_id, seq, uid, comment, content, ord, position, depth, constant, disable, key, role, probability, use_probability, sticky, cooldown, delay"
 
 # Code blocks: a fold over the lines.

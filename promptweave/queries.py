@@ -5,10 +5,9 @@ Order is a column (rn, seq, nth) where it matters; lists are joined to strings;
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweave import oracle as O
@@ -20,7 +19,7 @@ from promptweave.operators import boundaries as D
 from promptweave.operators import entries as E
 from promptweave.plans import lineage, listing, pipeline, prompt, validate
 from promptweave.sources import books
-from promptweave.views import entries_view, spread
+from promptweave.views import entries_view, flawed_view, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,6 +46,14 @@ def with_full(ctes: str) -> str:
     return f"{O.ENTRIES}, {O.FULL}, {ctes}"
 
 
+def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.complete(flawed_view(spark, sf_dir))
+
+
+def with_flawed(ctes: str) -> str:
+    return f"{O.FLAWED}, {ctes}"
+
+
 def shown(entries: DataFrame) -> DataFrame:
     keys = ["book_id", "seq", "uid", "ord", "position", "depth", "constant", "disable"]
     rest = ["role", "probability", "use_probability", "sticky", "cooldown", "delay", "comment"]
@@ -450,10 +457,10 @@ ENTRY_SQL = {
 
 def _entry_rule(code: str) -> None:
     def run(spark, sf_dir):
-        return validate.entry_findings(full(spark, sf_dir), [code])
+        return validate.entry_findings(flawed(spark, sf_dir), [code])
 
     run.__name__ = f"val_{code.lower()}"
-    query(ENTRY_SQL[code], with_full("one AS (SELECT 1)"))(run)
+    query(ENTRY_SQL[code], with_flawed("one AS (SELECT 1)"))(run)
 
 
 for _code in ENTRY_SQL:
@@ -463,23 +470,22 @@ _F6 = _finding("F6", "uid", f"'order=' || ord || ' duplicate with uid=' || f ||
                "(SELECT *, first_value(uid) OVER w AS f, row_number() OVER w AS n FROM full_entries WINDOW w AS (PARTITION BY book_id, position, depth, ord ORDER BY seq)) WHERE n > 1")
 
 
-@query(_F6, with_full("one AS (SELECT 1)"))
+@query(_F6, with_flawed("one AS (SELECT 1)"))
 def val_f6(spark, sf_dir):
-    return validate.f6(full(spark, sf_dir))
+    return validate.f6(flawed(spark, sf_dir))
 
 
 _SHAPE = O.q(r"\A" + P.MD_BOUNDARY[1:])
-# Headings without their counterpart need a book where some are missing: one of the four kinds in five is left out.
-_MD = f"md AS (SELECT book_id, seq, uid, {O.strip(f'regexp_extract(t, {_SHAPE}, 2)')} AS base, regexp_extract(t, {_SHAPE}, 3) IN ('开始', 'start', 'begin') AS o FROM (SELECT *, {O.strip('content')} AS t FROM full_entries WHERE book_id % 3 <> uid % 2) WHERE regexp_matches(t, {_SHAPE}))"
+_MD = f"md AS (SELECT book_id, seq, uid, {O.strip(f'regexp_extract(t, {_SHAPE}, 2)')} AS base, regexp_extract(t, {_SHAPE}, 3) IN ('开始', 'start', 'begin') AS o FROM (SELECT *, {O.strip('content')} AS t FROM full_entries) WHERE regexp_matches(t, {_SHAPE}))"
 _D2 = " UNION ALL ".join([
     _finding("D2", "arg_max(uid, seq)", "'MD boundary #' || base || '开始 has no matching end'", "md x WHERE o AND NOT EXISTS (SELECT 1 FROM md y WHERE NOT y.o AND y.book_id = x.book_id AND y.base = x.base) GROUP BY book_id, base", scope="cross-entry"),
     _finding("D2", "NULL", "'MD boundary #' || base || '结束 has no matching start'", "md x WHERE NOT o AND NOT EXISTS (SELECT 1 FROM md y WHERE y.o AND y.book_id = x.book_id AND y.base = x.base)", scope="cross-entry"),
 ])
 
 
-@query(_D2, with_full(_MD))
+@query(_D2, with_flawed(_MD))
 def val_d2(spark, sf_dir):
-    return validate.d2(full(spark, sf_dir).filter("book_id % 3 <> uid % 2"))
+    return validate.d2(flawed(spark, sf_dir))
 
 
 _CLOSED = r"regexp_replace(content, '(?s)<%.*?%>', '', 'g')"
@@ -498,18 +504,25 @@ UNION ALL {_finding("E2", "NULL", "'EJS output block contains nested macro: ' ||
 """
 
 
-@query(TEXT_SQL, with_full(f"{_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
+@query(TEXT_SQL, with_flawed(f"{_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
 def val_text(spark, sf_dir):
-    return validate.text_findings(prompt.prompt_text(prompt.sections(full(spark, sf_dir))))
+    return validate.text_findings(prompt.prompt_text(prompt.sections(flawed(spark, sf_dir))))
 
 
-_MD_ALL = _MD.replace(" WHERE book_id % 3 <> uid % 2", "")
 _ALL = " UNION ALL ".join([*ENTRY_SQL.values(), _F6, _D2, TEXT_SQL])
 
 
-@query(_ALL, with_full(f"{_MD_ALL}, {_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
+@query(_ALL, with_flawed(f"{_MD}, {_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
 def validate_all(spark, sf_dir):
-    return validate.validate(entries_view(spark, sf_dir), strict=True)
+    return validate.validate(flawed_view(spark, sf_dir), strict=True)
+
+
+_TOTALS = f"SELECT book_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'error') = 0 AS passed FROM ({_ALL}) GROUP BY book_id"
+
+
+@query(_TOTALS, with_flawed(f"{_MD}, {_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
+def val_totals(spark, sf_dir):
+    return validate.totals(validate.validate(flawed_view(spark, sf_dir), strict=True))
 
 
 _FACTS = f"""facts AS (SELECT book_id, min(ord) AS lo, max(ord) AS hi, count(*) AS n, min(ord) = 0 AND max(ord) = count(*) - 1 AND count(DISTINCT ord) = count(*) AS oc,
@@ -522,9 +535,9 @@ _ARTIFACT = " UNION ALL ".join([
 ])
 
 
-@query(_ARTIFACT, with_full(_FACTS))
+@query(_ARTIFACT, with_flawed(_FACTS))
 def val_artifact(spark, sf_dir):
-    return validate.check_artifact(entries_view(spark, sf_dir))
+    return validate.check_artifact(flawed_view(spark, sf_dir))
 
 
 _CHAIN = " UNION ALL ".join([
@@ -541,6 +554,54 @@ def val_chain(spark, sf_dir):
     return validate.check_chain(rows, split, rows.limit(0), split, rows.select("book_id").filter("book_id > 3").distinct())
 
 
+@query(_finding("P3", "uid", "'temporary field ''_pair_id'' found'", "full_entries WHERE seq % 9 = 4"), with_flawed("one AS (SELECT 1)"))
+def val_residue(spark, sf_dir):
+    """P3 on entries that carry a field of the steps."""
+    said = F.concat(F.lit('{"uid":'), F.col("uid").cast("string"), F.when(F.col("seq") % 9 == 4, F.lit(',"_pair_id":1')).otherwise(""), F.lit("}"))
+    rows = flawed_view(spark, sf_dir).withColumn("raw", F.from_json(said, "map<string,variant>"))
+    return validate.check_artifact(rows).filter("code = 'P3'")
+
+
+@query(_finding("P0", "NULL", "'entries list is empty'", "(SELECT unnest([100, 101]) AS book_id)", "error", "file"))
+def val_missing(spark, sf_dir):
+    """P0 for books without entries, among those that have some."""
+    rows = entries_view(spark, sf_dir)
+    return validate.missing_books(rows.select("book_id").distinct().unionByName(spark.range(100, 102).select(F.col("id").alias("book_id"))), rows)
+
+
+def _as_files(rows: DataFrame, as_list: bool, key: Column, entry: Column) -> DataFrame:
+    """A row per book: its entries as the JSON of a map under `key`, or of a list."""
+    one = entry if as_list else F.concat(F.lit('"'), key.cast("string"), F.lit('":'), entry)
+    listed = rows.select("book_id", F.struct("seq", one.alias("json")).alias("x")).groupBy("book_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    inner = F.array_join(F.transform("all", lambda x: x["json"]), ",")
+    ends = ("[", "]") if as_list else ("{", "}")
+    return listed.select("book_id", F.concat(F.lit('{"entries":' + ends[0]), inner, F.lit(ends[1] + "}")).alias("value"))
+
+
+_FILES = " UNION ALL ".join([
+    _finding("A3", "uid", "'uid=' || uid || ' != entries key=' || (uid + 1000000)", "full_entries WHERE uid % 6 = 5", "error"),
+    _finding("A4", "uid", "'content field missing'", "full_entries WHERE uid % 7 = 3", "error"),
+])
+
+
+@query(_FILES, with_full("one AS (SELECT 1)"))
+def val_files(spark, sf_dir):
+    """A3 and A4 on books as JSON."""
+    bare = F.col("uid") % 7 == 3
+    key = F.when(F.col("uid") % 6 == 5, F.col("uid") + 1_000_000).otherwise(F.col("uid"))
+    entry = F.when(bare, F.to_json(F.struct("uid", "comment"))).otherwise(F.to_json(F.struct("uid", "comment", "content")))
+    return validate.file_rules(books.parse_books(_as_files(entries_view(spark, sf_dir), False, key, entry)))
+
+
+@query("SELECT doc_id AS book_id, CASE WHEN doc_id % 5 = 2 THEN 'A2' ELSE 'A1' END AS code FROM documents WHERE doc_id % 5 IN (2, 3)", "")
+def val_damaged(spark, sf_dir):
+    """A1 and A2 on files, one for each document."""
+    said = {0: '{"entries":{"0":{}}}', 1: '{"entries":[]}', 2: '{"entries":3}', 3: '{"entries":{"0":', 4: "{}"}
+    value = F.coalesce(*[F.when(F.col("doc_id") % 5 == k, F.lit(v)) for k, v in said.items()])
+    found = books.damaged(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("doc_id").alias("book_id"), value.alias("value")))
+    return found.select("book_id", "code")
+
+
 # Lineage
 
 _WS = P.WS
@@ -632,10 +693,16 @@ def lineage_report(spark, sf_dir):
 
 # Files
 
-_FIELDS = {k: json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for k, v in E.default_fields().items()}
+# Fixed values, stated apart from the writer's: a new entry's fields in file order.
+_FIELDS = """uid null; key []; keysecondary []; comment ""; content ""; constant false; disable false; selective true; selectiveLogic 0; order 100; position 0;
+depth 4; role null; probability 100; useProbability true; sticky 0; cooldown 0; delay 0; scanDepth null; caseSensitive null; matchWholeWords null;
+useGroupScoring null; matchPersonaDescription false; matchCharacterDescription false; matchCharacterPersonality false; matchCharacterDepthPrompt false;
+matchScenario false; matchCreatorNotes false; excludeRecursion false; preventRecursion false; delayUntilRecursion 0; ignoreBudget false; group "";
+groupOverride false; groupWeight 100; outletName ""; automationId ""; vectorized false; addMemo false; triggers [];
+characterFilter {"isExclude":false,"names":[],"tags":[]}; displayIndex null"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {O.q(k)}, {O.q(v)})" for i, (k, v) in enumerate(_FIELDS.items())) + ") AS f(place, field, value)", "")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {O.q(k)}, {O.q(v)})" for i, (k, v) in enumerate(x.strip().split(" ", 1) for x in _FIELDS.split(";"))) + ") AS f(place, field, value)", "")
 def default_fields(spark, sf_dir):
     """Fields of a new entry, as the writer fills them in."""
     made = spark.range(1).select(F.from_json(F.lit(books.default_json()), "map<string,variant>").alias("f"))
@@ -650,6 +717,26 @@ def json_round_trip(spark, sf_dir):
     return again.select("book_id", "seq", "uid", "ord", "position", "depth", "constant", "disable", "comment", F.md5(F.col("content")).alias("content_md5"))
 
 
+_LISTED = """SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY seq) - 1 AS seq, CAST(row_number() OVER (PARTITION BY book_id ORDER BY seq) - 1 AS VARCHAR) AS map_key,
+  uid, comment, md5(content) AS content_md5 FROM entries"""
+
+
+@query(_LISTED)
+def list_books(spark, sf_dir):
+    """Books whose entries are a JSON list."""
+    rows = entries_view(spark, sf_dir)
+    again = books.parse_books(_as_files(rows, True, F.col("uid"), F.to_json(F.struct("uid", "comment", "content"))))
+    return again.select("book_id", "seq", "map_key", "uid", "comment", F.md5(F.col("content")).alias("content_md5"))
+
+
+@query("SELECT doc_id AS book_id, md5(text) AS description_md5, lang AS personality, CASE WHEN doc_id % 2 = 0 THEN source END AS scenario FROM documents", "")
+def character_cards(spark, sf_dir):
+    """Character cards as JSON, some without a scenario."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    value = F.to_json(F.struct(F.col("text").alias("description"), F.col("lang").alias("personality"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("scenario"), F.lit(1).alias("other")))
+    return books.character_card(docs.select(F.col("doc_id").alias("book_id"), value.alias("value"))).select("book_id", F.md5("description").alias("description_md5"), "personality", "scenario")
+
+
 @query("SELECT conv_id AS book_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, coalesce(role, 'user') AS role, md5(coalesce(text, '')) AS text_md5 FROM conversations", "")
 def chat_round_trip(spark, sf_dir):
     """Conversations as chat files, parsed again."""

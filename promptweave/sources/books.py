@@ -50,12 +50,18 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return parse_books(raw_books(spark, path).select(F.xxhash64("path").alias("book_id"), "value"))
 
 
-def damaged_books(spark: SparkSession, path: str) -> DataFrame:
-    """Findings for files that are no JSON (A1) or whose entries are neither a map nor a list (A2)."""
-    books = raw_books(spark, path).withColumn("doc", F.expr("try_parse_json(value)"))
+def damaged(books: DataFrame) -> DataFrame:
+    """books (value and others) with code: A1 for what is no JSON, A2 where entries are neither a map nor a list; those
+    only."""
+    books = books.withColumn("doc", F.expr("try_parse_json(value)"))
     kind = F.expr("schema_of_variant(variant_get(doc, '$.entries'))")
     code = F.when(F.col("doc").isNull(), "A1").when(~kind.rlike("^(OBJECT|ARRAY|VOID)") & kind.isNotNull(), "A2")
-    return books.select("path", code.alias("code")).filter("code is not null")
+    return books.withColumn("code", code).drop("doc").filter("code is not null")
+
+
+def damaged_books(spark: SparkSession, path: str) -> DataFrame:
+    """path, code of files that are no JSON (A1) or whose entries are neither a map nor a list (A2)."""
+    return damaged(raw_books(spark, path)).select("path", "code")
 
 
 def entry_json(entries: DataFrame) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The documents hold no markers, so the view supplies them.  Engines agree on this text; the document is taken whole.
 ENTRIES_SQL = """
@@ -37,12 +38,47 @@ FROM v
 """
 
 
+# The same entries with mistakes planted, so that every rule of the validation has something to find.
+FLAWED_SQL = """
+WITH plain AS (ENTRIES), f AS (
+  SELECT *, CAST(uid % 48 AS INT) AS m, book_id = 5 AND uid = 24 AS tail FROM plain
+)
+SELECT book_id, CASE WHEN book_id = 7 AND uid = 3 THEN uid + 100000 ELSE uid END AS uid, seq, comment,
+  CASE WHEN tail THEN 9999 WHEN uid % 20 = 19 THEN 5 ELSE ord END AS ord,
+  CAST(CASE WHEN tail THEN 3 WHEN uid % 20 = 19 THEN 0 ELSE position END AS INT) AS position,
+  CAST(CASE WHEN uid % 20 = 19 THEN 1 ELSE depth END AS INT) AS depth,
+  constant, disable, uid % 18 = 0 AS keyed,
+  CAST(CASE WHEN uid % 14 = 0 THEN 50 ELSE 100 END AS INT) AS probability, uid % 7 = 0 AS use_probability,
+  CASE WHEN tail THEN concat('tail ', comment, ' <% if (x) ')
+    WHEN m = 14 THEN concat('# 孤立', CAST(uid AS VARCHAR(20)), '开始')
+    WHEN m = 15 THEN concat('## 独行', CAST(uid AS VARCHAR(20)), '结束')
+    WHEN m = 16 THEN concat('<ij>', chr(10), comment, chr(10), '<ij>')
+    WHEN m = 17 THEN concat('<ab>', chr(10), '<cd> ', comment, '</ab>', chr(10), '</cd>')
+    WHEN m = 18 THEN concat('<ef>', chr(10), comment)
+    WHEN m = 21 THEN concat(comment, '</gh>')
+    WHEN m = 22 THEN concat('{{a}} ', content, ' {{b')
+    WHEN m = 23 THEN concat('<%= {{x}} ', comment, ' %>')
+    WHEN m = 30 THEN comment
+    ELSE content END AS content
+FROM f
+""".replace("ENTRIES", ENTRIES_SQL)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores where its files make fewer partitions than there are cores; larger tables stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def entries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = ENTRIES_SQL.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}")
+def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    query = sql.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}")
     return spark.sql(query, documents=spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def entries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, ENTRIES_SQL)
+
+
+def flawed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _view(spark, sf_dir, FLAWED_SQL)
+    return rows.withColumn("key", F.when(F.col("keyed"), F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))).drop("keyed")
