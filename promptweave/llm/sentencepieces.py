@@ -37,6 +37,8 @@ from .common import read_table, saved, small_batches
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk.  Longer documents are giant.
 CHUNK = 16_384
+#: Longest word whose path is sought depth first.
+SHORT = 200
 #: Chunks whose matrices are multiplied in one task.
 FAN = 256
 SPACE = "▁"
@@ -137,10 +139,39 @@ class Model:
 
     def _word_ids(self, word: str) -> list[int]:
         """Ids of a word between two places where words begin, by its own scan."""
+        if len(word) <= SHORT and (path := self._weightless(word)) is not None:
+            return [i for t in path for i in self.ids_of(t)]
         reach = self.spread(word, (_NONE, 0), len(word))[len(word)]
         goal = max(reach.items(), key=lambda x: (x[1][0], x[0]))[0]
         return [i for t in _walk(self, word, (_NONE, 0), len(word), goal) for i in self.ids_of(t)]
 
+    def _weightless(self, word: str) -> list[str] | None:
+        """The path of weight 0 through a word of a BPE model, long tokens first: no step can raise a weight over 0, so
+        the first path that gets through is the optimum, and only states that lead nowhere are left and marked."""
+        path, lost = [], set()
+
+        def on(i: int, before: str) -> bool:
+            if i == len(word):
+                return True
+            for t in reversed(self.tokens_at(word, i)):
+                to = (i + len(t), t)
+                if to in lost or self.weight(before, t) is None:
+                    continue
+                path.append(t)
+                if on(i + len(t), t):
+                    return True
+                path.pop()
+                lost.add(to)
+            return False
+
+        return path if on(0, _NONE) else None
+
+
+@lru_cache(2)
+def model_of(proto: bytes, kind: str) -> Model:
+    """One model with its caches for all tasks of a worker."""
+    return Model(proto, kind)
+
 
 def _cuts(model: Model, body: str, left: str) -> tuple[int, int] | None:
     """First and last place in body where a word begins: there every path has a border, and steps across it are free."""
@@ -264,7 +295,7 @@ def _schema(with_ids: bool) -> str:
 
 def _encode_small(shared, kind: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, kind)
+        model = model_of(shared.value, kind)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = model.lib.encode(texts, num_threads=1) if texts else []
@@ -291,7 +322,7 @@ def _cut_batches(longest: int, chunk: int):
 
 def _matrix_batches(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, kind)
+        model = model_of(shared.value, kind)
         for batch in batches:
             found = [_packed(transfer(model, r["before"], r["body"], r["after"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, pa.string())], ["key", "no", "matrix"])
@@ -335,7 +366,7 @@ def _trace_batches(shared, kind: str):
     """Ids of each chunk, packed, and whether they spell out the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, kind)
+        model = model_of(shared.value, kind)
         for batch in batches:
             packed, whole = [], []
             for r in batch.to_pylist():
@@ -407,7 +438,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL_PATH, kind: str = "bpe", ch
 
 def _decode_batches(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, kind)
+        model = model_of(shared.value, kind)
         for batch in batches:
             texts = [model.lib.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

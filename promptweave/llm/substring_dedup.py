@@ -24,8 +24,6 @@ WINDOW = 50
 KMER = 16
 #: Words that are hashed at a time; a longer document is one block of its own.
 BLOCK_WORDS = 400_000
-#: Most places of a source that are read at a time.
-ASKED = 10_000
 #: Bits of the map of documents that are a source.
 MAP_BITS = 1 << 23
 _BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: powers differ in all but few low bits
@@ -173,24 +171,41 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def _lists(column: pa.Array, *names: str) -> Iterator[list]:
+    """Of each row of an array<struct> the fields' values, a row at a time."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = column.offsets.to_numpy()
+    valid = column.is_valid().to_pylist()
+    fields = [column.values.field(n) for n in names]
+    for ok, i, j in zip(valid, ends, ends[1:]):
+        yield [f.slice(i, j - i if ok else 0) for f in fields]
+
+
 def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with text and `asked`, places (t, n) in it: the digest of the words that stand there."""
     for batch in batches:
         rows = []
-        for doc_id, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked"))):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            rows += [(doc_id, x["t"], x["n"], _digest(words[x["t"] : x["t"] + x["n"]])) for x in asked]
+        for doc_id, text, (at, size) in zip(batch.column("doc_id").to_pylist(), batch.column("text"), _lists(batch.column("asked"), "t", "n")):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            rows += [(doc_id, t, n, _digest(words[t : t + n])) for t, n in zip(at.to_pylist(), size.to_pylist())]
         cols = list(zip(*rows)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["source", "t", "n", "digest"])
 
 
-def _cut_text(words: list[bytes], spans: list | None) -> tuple[int, bytes]:
+def _cut_text(words: list[bytes], start: pa.Array, end: pa.Array, digests: pa.Array) -> tuple[int, bytes]:
     """The number of words that spans cover, and the rest.  A span whose words are not the source's covers none."""
     gone = np.zeros(len(words) + 1, np.int64)
-    for x in spans or ():
-        if x["e"] <= len(words) and _digest(words[x["s"] : x["e"]]) in x["digests"]:
-            gone[x["s"]] += 1
-            gone[x["e"]] -= 1
+    known: dict[tuple[int, int], bytes] = {}
+    for s, e, d in zip(start.to_pylist(), end.to_pylist(), digests):
+        if e > len(words):
+            continue
+        own = known.get((s, e))
+        if own is None:
+            own = known[(s, e)] = _digest(words[s:e])
+        if own in d.as_py():
+            gone[s] += 1
+            gone[e] -= 1
     covered = np.cumsum(gone)[:-1] > 0
     return int(covered.sum()), b" ".join(w for w, c in zip(words, covered.tolist()) if not c)
 
@@ -199,10 +214,10 @@ def _keep_batches(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                n, kept = _cut_text(words, spans)
-                rows.append((len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+            for text, spans in zip(batch.column("text"), _lists(batch.column("spans"), "s", "e", "digests")):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                n, kept = _cut_text(words, *spans)
+                rows.append((len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
             n_words, n_gone, sha, kept = zip(*rows) if rows else ((), (), (), ())
             cols = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(sha, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -266,17 +281,13 @@ def verifiable(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """spans with digests: of the words at the source's coordinates, read from the source's text (one for each text
     under its doc_id).  Whoever removes a span compares them with its own words.
 
-    Each place of a source is read once, however many documents repeat it; only texts that are a source are dealt, and
-    a source with very many places is read in pieces.
+    Each place of a source is read once, however many documents repeat it, and only texts that are a source are dealt.
     """
-    asked = saved(spans.select("source", "t", (F.col("e") - F.col("s")).alias("n")).distinct(), "asked")
-    sizes = saved(asked.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("pieces")), "sizes")
-    parts = asked.join(sizes, "source").withColumn("piece", F.pmod(F.xxhash64("t", "n"), F.col("pieces")))
-    parts = parts.groupBy("source", "piece").agg(F.collect_list(F.struct("t", "n")).alias("asked"))
-    read = texts_of(docs, sizes.select(F.col("source").alias("doc_id"))).join(parts, F.col("doc_id") == F.col("source")).select("doc_id", "text", "asked")
+    asked = spans.select("source", "t", (F.col("e") - F.col("s")).alias("n")).distinct()
+    parts = asked.groupBy("source").agg(F.collect_list(F.struct("t", "n")).alias("asked"))
+    read = texts_of(docs, spans.select(F.col("source").alias("doc_id"))).join(parts, F.col("doc_id") == F.col("source")).select("doc_id", "text", "asked")
     digests = read.mapInArrow(_source_batches, "source long, t int, n int, digest binary").groupBy("source", "t", "n").agg(F.collect_set("digest").alias("digests"))
     digests = saved(digests, "digests")
-    dropped(asked, sizes)
     there = (F.col("spans.source") == F.col("d.source")) & (F.col("spans.t") == F.col("d.t")) & (F.col("e") - F.col("s") == F.col("d.n"))
     return spans.alias("spans").join(digests.alias("d"), there).select("spans.*", "d.digests")
 

@@ -125,6 +125,15 @@ def test_states_at_a_border_matter(model):
     assert in_chunks(model, text, 10) == model.lib.encode(text)
 
 
+def test_words_take_the_path_of_the_scan(model):
+    rng = random.Random(4)
+    for _ in range(300):
+        word = sentencepieces.SPACE * rng.randint(1, 3) + "".join(rng.choice(["ing", "é", "中", "a", "re", "😀", "\n", "th"]) for _ in range(rng.randint(0, 9)))
+        reach = model.spread(word, (sentencepieces._NONE, 0), len(word))[len(word)]
+        goal = max(reach.items(), key=lambda x: (x[1][0], x[0]))[0]
+        assert model._weightless(word) == sentencepieces._walk(model, word, (sentencepieces._NONE, 0), len(word), goal)
+
+
 def test_scan_of_a_giant_text_does_not_ask_the_library(model):
     rng = random.Random(8)
     text = " ".join(rng.choice(WORDS) for _ in range(30_000))
