@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from books import GOLDEN, GOLDEN_RESULT
+from books import LIGHTHOUSE, LIGHTHOUSE_RESULT
 
 from promptweave.__main__ import main
 from promptweave.sources.books import reread
@@ -10,9 +10,9 @@ from promptweave.sources.books import reread
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
     top = tmp_path_factory.mktemp("books")
-    entries = {str(i): {"uid": i, "comment": c, "content": t, "order": o, "position": p, "depth": d} for i, (c, t, o, p, d) in enumerate(GOLDEN)}
+    entries = {str(i): {"uid": i, "comment": c, "content": t, "order": o, "position": p, "depth": d} for i, (c, t, o, p, d) in enumerate(LIGHTHOUSE)}
     (top / "book.json").write_text(json.dumps({"entries": entries}))
-    (top / "new.json").write_text(json.dumps({"entries": {str(r[0]): {"uid": r[0], "order": r[0], "position": r[1], "depth": r[2], "role": r[3], "constant": r[4], "key": r[5], "comment": r[6], "content": r[7]} for r in GOLDEN_RESULT}}))
+    (top / "new.json").write_text(json.dumps({"entries": {str(r[0]): {"uid": r[0], "order": r[0], "position": r[1], "depth": r[2], "role": r[3], "constant": r[4], "key": r[5], "comment": r[6], "content": r[7]} for r in LIGHTHOUSE_RESULT}}))
     (top / "chat.json").write_text('{"chat": [{"role": "user", "content": "hello"}]}')
     return top
 
@@ -20,19 +20,19 @@ def files(tmp_path_factory):
 def test_pipeline(spark, files):
     assert list(main(["pipeline", "-i", f"{files}/book.json", "-d", f"{files}/out"], spark)) == []
     got = reread(spark, f"{files}/out/book_merged").orderBy("seq").collect()
-    assert [(r.seq, r.content) for r in got] == [(r[0], r[7]) for r in GOLDEN_RESULT]
+    assert [(r.seq, r.content) for r in got] == [(r[0], r[7]) for r in LIGHTHOUSE_RESULT]
     assert spark.read.json(f"{files}/out/book_analysis").count() == 13
 
 
 @pytest.mark.parametrize(
     ("args", "count", "first"),
     [
-        (["list", "--csv", "--filter", "dynamic"], 6, "80,0,4,✗,✗,7,动态pos0"),
-        (["query", "--filter", "static", "--order-range", "50", "60", "--csv"], 2, "50,0,4,static,✗,✗,4,静态pos0"),
+        (["list", "--csv", "--filter", "dynamic"], 5, "31,4,20,✗,✗,7,clock"),
+        (["query", "--filter", "static", "--order-range", "50", "60", "--csv"], 2, "50,0,4,static,✗,✗,9,stairs"),
         (["list-full", "-u", "8"], 1, None),
         (["query", "--summary-only"], 1, None),
         (["prompt", "-C", "--scenario", "here"], 1, None),
-        (["validate", "--strict"], 4, None),
+        (["validate", "--strict"], 5, None),
     ],
 )
 def test_reports(spark, files, args, count, first):
@@ -43,7 +43,7 @@ def test_reports(spark, files, args, count, first):
 
 def test_checks_and_prompt_files(spark, files):
     assert list(main(["query", "-i", f"{files}/new.json", "--verify"], spark)) == []
-    assert [json.loads(x)["code"] for x in main(["validate", "-i", f"{files}/book.json", "--pipeline-check"], spark)] == ["P1"]
+    assert [json.loads(x)["code"] for x in main(["validate", "-i", f"{files}/book.json", "--pipeline-check"], spark)] == ["P1", "P5"]
     got = list(main(["prompt", "-C", "-i", f"{files}/new.json", "--chat-history", f"{files}/chat.json"], spark))
     assert "用户: hello" in got[0]
 
@@ -51,7 +51,7 @@ def test_checks_and_prompt_files(spark, files):
 def test_diff(spark, files):
     both = ["--original", f"{files}/book.json", "--optimized", f"{files}/new.json"]
     report = list(main(["diff", *both], spark))
-    assert len(report) == 13 + 15 and report[0].startswith("  #0 ")
-    assert [json.loads(x)["opt_uid"] for x in main(["diff", *both, "--from-uid", "10"], spark)] == [1, 7]
+    assert len(report) == 13 + 14 and report[0].startswith("  #0 ")
+    assert [json.loads(x)["opt_uid"] for x in main(["diff", *both, "--from-uid", "3"], spark)] == [2, 8]
     assert [json.loads(x)["orig_uid"] for x in main(["diff", *both, "--to-search", "深"], spark)] == []
-    assert json.loads(next(iter(main(["diff", *both, "--summary"], spark))))["n_split"] == 2
+    assert json.loads(next(iter(main(["diff", *both, "--summary"], spark))))["n_split"] == 1

@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from books import GOLDEN, GOLDEN_RESULT, book, step
+from books import LIGHTHOUSE, LIGHTHOUSE_RESULT, book, step
 from pyspark.sql import functions as F
 
 from promptweave.operators import boundaries as D
@@ -15,20 +15,20 @@ from promptweave.sources import books as S
 SHOWN = ["seq", "position", "depth", "role", "constant", "key", "comment", "content"]
 
 
-def test_golden_book(spark):
-    rows = book(spark, GOLDEN)
-    assert tuple(pipeline.analysis_summary(pipeline.analyze(rows)).first())[1:] == (13, 7, 3, 3)
+def test_hand_traced_book(spark):
+    rows = book(spark, LIGHTHOUSE)
+    assert tuple(pipeline.analysis_summary(pipeline.analyze(rows)).first())[1:] == (13, 8, 1, 4)
     split = pipeline.split(rows)
     reordered = pipeline.reorder(split)
     merged = pipeline.merge(reordered)
-    assert (split.count(), reordered.count(), merged.count()) == (15, 17, 13)
-    assert step(merged, *SHOWN) == GOLDEN_RESULT
+    assert (split.count(), reordered.count(), merged.count()) == (14, 18, 14)
+    assert step(merged, *SHOWN) == LIGHTHOUSE_RESULT
 
 
 def test_books_do_not_mix(spark):
-    two = book(spark, GOLDEN, 1).unionByName(book(spark, GOLDEN, 2))
+    two = book(spark, LIGHTHOUSE, 1).unionByName(book(spark, LIGHTHOUSE, 2))
     got = step(pipeline.pipeline(two), "book_id", *SHOWN)
-    assert [r[1:] for r in got if r[0] == 1] == [r[1:] for r in got if r[0] == 2] == GOLDEN_RESULT
+    assert [r[1:] for r in got if r[0] == 1] == [r[1:] for r in got if r[0] == 2] == LIGHTHOUSE_RESULT
 
 
 @pytest.mark.parametrize("parts", [1, 3, 9])
@@ -36,18 +36,18 @@ def test_partitions_do_not_matter(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        assert step(pipeline.pipeline(book(spark, GOLDEN).repartition(parts)), *SHOWN) == GOLDEN_RESULT
+        assert step(pipeline.pipeline(book(spark, LIGHTHOUSE).repartition(parts)), *SHOWN) == LIGHTHOUSE_RESULT
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_files_keep_what_they_hold(spark):
-    entries = {str(i): {"uid": i, "comment": c, "content": t, "order": o, "position": p, "depth": d, "odd": {"b": 1, "a": [2]}, "delayUntilRecursion": False} for i, (c, t, o, p, d) in enumerate(GOLDEN)}
+    entries = {str(i): {"uid": i, "comment": c, "content": t, "order": o, "position": p, "depth": d, "odd": {"b": 1, "a": [2]}, "delayUntilRecursion": False} for i, (c, t, o, p, d) in enumerate(LIGHTHOUSE)}
     files = spark.createDataFrame([(1, json.dumps({"entries": entries, "other": 1}))], "book_id long, value string")
     got = json.loads(S.book_json(pipeline.pipeline(S.parse_books(files))).first().value)["entries"]
-    assert list(got) == [str(i) for i in range(13)]
-    assert [(e["order"], e["uid"], e["displayIndex"], e["content"]) for e in got.values()] == [(r[0], r[0], r[0], r[7]) for r in GOLDEN_RESULT]
-    assert got["2"]["odd"] == {"b": 1, "a": [2]} and got["2"]["delayUntilRecursion"] is False
+    assert list(got) == [str(i) for i in range(14)]
+    assert [(e["order"], e["uid"], e["displayIndex"], e["content"]) for e in got.values()] == [(r[0], r[0], r[0], r[7]) for r in LIGHTHOUSE_RESULT]
+    assert got["1"]["odd"] == {"b": 1, "a": [2]} and got["1"]["delayUntilRecursion"] is False
     assert "odd" not in got["0"] and got["0"]["groupWeight"] == 100 and len(got["0"]) == 42
 
 
@@ -72,38 +72,38 @@ def test_analysis_of_unclosed_code(spark):
 
 
 def test_split_after_a_closing_tag(spark):
-    rows = book(spark, [("t", "<A>\n# 静态\n额外静态内容\n# 动态\n额外动态<%= var %>\n</A>\n也有一句话", 1, 0, 4)])
+    rows = book(spark, [("t", "<Log>\n# Kept\nink\n# Moving\nwave<%= var %>\n</Log>\nlast words", 1, 0, 4)])
     cuts = pipeline.analyze(rows).select(F.explode_outer("boundaries").alias("b")).select("b.*").collect()
-    assert [(c.start_line, c.end_line, c.is_dynamic, c.wrap_tag) for c in cuts] == [(0, 0, False, "A"), (1, 2, False, "A"), (3, 5, True, "A"), (6, 6, True, None)]
+    assert [(c.start_line, c.end_line, c.is_dynamic, c.wrap_tag) for c in cuts] == [(0, 0, False, "Log"), (1, 2, False, "Log"), (3, 5, True, "Log"), (6, 6, True, None)]
     assert step(pipeline.split(rows), "comment", "content") == [
-        ("t [split-static]", "<A>\n# 静态\n额外静态内容\n\n</A>"),
-        ("t [split-dynamic]", "<A>\n# 动态\n额外动态<%= var %>\n\n</A>\n\n也有一句话"),
+        ("t [split-static]", "<Log>\n# Kept\nink\n\n</Log>"),
+        ("t [split-dynamic]", "<Log>\n# Moving\nwave<%= var %>\n\n</Log>\n\nlast words"),
     ]
 
 
 def test_split_by_a_given_analysis(spark):
-    rows = E.complete(book(spark, GOLDEN))
+    rows = E.complete(book(spark, LIGHTHOUSE))
     given = pipeline.analyze(rows).withColumn("suggested_split", F.lit(False))
     assert pipeline.split(rows, given).count() == 13
     doubled = given.unionByName(pipeline.analyze(rows).withColumn("seq", F.col("seq") + 100))
     assert step(pipeline.split(rows, doubled), "content") == step(pipeline.split(rows), "content")
 
 
-NESTED = [("A开", "<A>", 1, 0, 4), ("B开", "<B>", 2, 0, 4), ("动态条目", '<%= getvar("x") %>', 3, 0, 4), ("B闭", "</B>", 4, 0, 4), ("A闭", "</A>", 5, 0, 4)]
+NESTED = [("outer", "<A>", 1, 0, 4), ("inner", "<B>", 2, 0, 4), ("moving", '<%= getvar("x") %>', 3, 0, 4), ("inner end", "</B>", 4, 0, 4), ("outer end", "</A>", 5, 0, 4)]
 
 
 def test_nested_boundaries(spark):
     rows = book(spark, NESTED)
     assert [(r.name, r.open_seq, r.close_seq, r.has_dynamic) for r in D.boundary_pairs(E.complete(rows)).orderBy("pair_no").collect()] == [("B", 1, 3, True), ("A", 0, 4, True)]
     got = [c for (c,) in step(pipeline.reorder(rows), "comment")]
-    copies = ["A开 [boundary-copy-open]", "B开 [boundary-copy-open]", "动态条目", "B闭 [boundary-copy-close]", "A闭 [boundary-copy-close]"]
-    assert got == ["A开", "B开", "B闭", "A闭", "[supplement-start]", *copies, "[supplement-end]"]
+    copies = ["outer [boundary-copy-open]", "inner [boundary-copy-open]", "moving", "inner end [boundary-copy-close]", "outer end [boundary-copy-close]"]
+    assert got == ["outer", "inner", "inner end", "outer end", "[supplement-start]", *copies, "[supplement-end]"]
     merged = step(pipeline.merge(pipeline.reorder(rows)), "comment", "content")
     assert len(merged) == 8 and merged[0] == ("合并:0-3", "<A>\n\n<B>\n\n</B>\n\n</A>")
 
 
 def test_boundaries_without_dynamic_entries(spark):
-    still = [e for e in NESTED if e[0] != "动态条目"]
+    still = [e for e in NESTED if e[0] != "moving"]
     assert D.boundary_copies(E.complete(book(spark, still))).count() == 0
     assert pipeline.reorder(book(spark, still)).count() == 4
     across = [("a", "<A>", 1, 0, 4), ("d", "{{time}}", 2, 0, 4), ("b", "</A>", 3, 1, 4)]
@@ -145,7 +145,7 @@ def test_outlets_stay_untouched(spark):
 
 
 def test_steps_again_keep_their_count(spark):
-    once = pipeline.pipeline(book(spark, GOLDEN))
+    once = pipeline.pipeline(book(spark, LIGHTHOUSE))
     assert pipeline.reorder(once).count() == once.count()
     assert pipeline.merge(once).count() == once.count()
 
@@ -156,5 +156,5 @@ def test_disabled_entries_do_not_merge(spark):
 
 
 def test_empty_books(spark):
-    rows = book(spark, GOLDEN).limit(0)
+    rows = book(spark, LIGHTHOUSE).limit(0)
     assert pipeline.pipeline(rows).count() == 0

@@ -1,7 +1,7 @@
 """Listings, prompts, validation and lineage over hand-made books."""
 
 import pytest
-from books import GOLDEN, book
+from books import LIGHTHOUSE, book
 from pyspark.sql import functions as F
 
 from promptweave.operators import entries as E
@@ -32,9 +32,9 @@ def test_query(spark):
 
 
 def test_summaries(spark):
-    whole = pipeline.pipeline(book(spark, GOLDEN))
+    whole = pipeline.pipeline(book(spark, LIGHTHOUSE))
     got = E.summary(whole).first()
-    assert (got.total, got.n_static, got.n_dynamic, got.n_supplement, got.n_merged) == (13, 2, 6, 2, 3)
+    assert (got.total, got.n_static, got.n_dynamic, got.n_supplement, got.n_merged) == (14, 1, 5, 2, 4)
     assert got.ord_continuous and got.uid_continuous and E.frontier(whole).first().static_first
     assert validate.check_artifact(whole).count() == 0
 
@@ -109,29 +109,29 @@ def test_artifact_rules(spark):
 
 
 def test_chain_rules(spark):
-    rows = book(spark, GOLDEN)
+    rows = book(spark, LIGHTHOUSE)
     split = pipeline.split(rows)
     assert validate.check_chain(rows, split, split, rows, rows.select("book_id").distinct()).count() == 0
     got = found(validate.check_chain(split, rows, rows.limit(0), split, rows.select("book_id").limit(0)).fillna(-1))
-    assert [m for _, _, m in got] == ["reordered is missing", "split (13) < analysis (15)", "no backup file found"]
+    assert [m for _, _, m in got] == ["reordered is missing", "split (13) < analysis (14)", "no backup file found"]
     assert S.artifact_name("book", "merged") == "book_merged"
     with pytest.raises(ValueError):
         S.artifact_name("book", "other")
 
 
 def test_lineage(spark):
-    rows = book(spark, GOLDEN)
+    rows = book(spark, LIGHTHOUSE)
     result = pipeline.pipeline(rows).persist()
     got = [(r.orig_uid, r.type, r.role, r.opt_uid) for r in lineage.forward(rows, result).orderBy("orig_uid", "opt_uid").collect()]
     assert got == [
-        (0, "merged", "merged", 4), (1, "merged", "merged", 4), (2, "merged", "merged", 0), (3, "merged", "merged", 0), (4, "merged", "merged", 1), (5, "kept", "kept", 2), (6, "kept", "kept", 3),
-        (7, "kept", "kept", 6), (8, "kept", "kept", 11), (9, "kept", "kept", 9), (10, "split", "merged", 1), (10, "split", "split-dynamic", 7), (11, "split", "merged", 4), (11, "split", "split-dynamic", 10), (12, "kept", "kept", 8),
+        (0, "merged", "merged", 2), (1, "merged", "merged", 0), (2, "kept", "kept", 12), (3, "split", "merged", 2), (3, "split", "split-dynamic", 8), (4, "merged", "merged", 4), (5, "merged", "merged", 4),
+        (6, "kept", "kept", 7), (7, "kept", "kept", 6), (8, "merged", "merged", 0), (9, "kept", "kept", 1), (10, "merged", "merged", 3), (11, "kept", "kept", 10), (12, "merged", "merged", 3),
     ]
-    assert tuple(lineage.summary(rows, result).first()) == (1, 2, 4, 5, 3, 6, 0, 2)
+    assert tuple(lineage.summary(rows, result).first()) == (1, 1, 2, 7, 4, 5, 0, 4)
     back = {}
     for r in lineage.reverse(rows, result).orderBy("opt_uid", "nth").collect():
         back.setdefault(r.opt_uid, []).append(r.orig_uid)
-    assert back[0] == [3, 2] and back[4] == [1, 0] and back[7] == [10] and back[5] == [None] and back[8] == [12]
+    assert back[0] == [8, 1] and back[3] == [10, 12] and back[4] == [5, 4] and back[8] == [3] and back[5] == back[9] == [None] and back[7] == [6]
     changed = {r.orig_rn: r.changes for r in lineage.kept_changes(rows, result).collect()}
     assert "position: 0 → 4; depth: 4 → 0; role: None → 1" in changed.values()
     result.unpersist()
