@@ -562,7 +562,7 @@ def val_residue(spark, sf_dir):
     return validate.check_artifact(rows).filter("code = 'P3'")
 
 
-@query(_finding("P0", "NULL", "'entries list is empty'", "(SELECT unnest([100, 101]) AS book_id)", "error", "file"))
+@query(_finding("P0", "NULL", "'entries list is empty'", "(SELECT CAST(unnest([100, 101]) AS BIGINT) AS book_id)", "error", "file"))
 def val_missing(spark, sf_dir):
     """P0 for books without entries, among those that have some."""
     rows = entries_view(spark, sf_dir)
