@@ -6,6 +6,7 @@ from .decontamination import op1_benchmark_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op7_language_id
 from .pii import OP10_SQL, op10_pii
+from .ranked_search import OP13_SQL, op13_ranked_search
 from .secrets import OP5_SQL, op5_secret_scans
 from .sentencepieces import op6_sentencepiece
 from .simhash import op3_simhash_near_dedup
@@ -26,6 +27,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_toxicity,
         op10_pii,
+        op13_ranked_search,
     )
 }
 
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op5_secret_scans": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_pii": OP10_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
