@@ -27,34 +27,45 @@ def _body(raw: Column) -> Column:
     return F.substring(raw, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def _spans(lines: Column, texts: bool) -> Column:
-    """array<struct<type, s, e>> of the first and last lines of blocks of code and, if asked, of text.
+def _one(kind: str, first: Column, last: Column) -> Column:
+    return F.array(F.struct(F.lit(kind).alias("type"), first.alias("s"), last.alias("e")))
+
+
+def _folded(lines: Column, texts: bool) -> Column:
+    """The fold over lines to array<struct<type, s, e>> of the first and last lines of blocks of code and, if asked, of
+    text; state since: the first line of a block that is still open, else -1.
 
     A line that opens a block and closes it afterwards is a block of code; else the block runs to the next line with a
     closing sign, or to the end of the text.  Each line outside of code is a block of text.
     """
 
-    def one(kind: str, first: Column, last: Column) -> Column:
-        return F.array(F.struct(F.lit(kind).alias("type"), first.alias("s"), last.alias("e")))
-
     def step(at: Column, line: Column) -> tuple[Column, Column]:
         inside = at["since"] >= 0
         closes, opens = F.contains(line, F.lit("%>")), F.contains(line, F.lit("<%"))
         whole = has(F.regexp_replace(line, r"(?s)\A.*?<%", ""), "%>")
-        done = F.when(inside & closes, one("ejs", at["since"], at["i"])).when(~inside & opens & whole, one("ejs", at["i"], at["i"]))
+        done = F.when(inside & closes, _one("ejs", at["since"], at["i"])).when(~inside & opens & whole, _one("ejs", at["i"], at["i"]))
         if texts:
-            done = done.when(~inside & ~opens, one("text", at["i"], at["i"]))
+            done = done.when(~inside & ~opens, _one("text", at["i"], at["i"]))
         goes_on = (inside & ~closes) | (~inside & opens & ~whole)
         since = F.when(goes_on, F.when(inside, at["since"]).otherwise(at["i"])).otherwise(F.lit(-1))
         return F.struct((at["i"] + 1).alias("i"), since.alias("since")), done.otherwise(F.array().cast(f"array<{_BLOCK}>"))
 
-    done = fold(lines, F.struct(F.lit(0).alias("i"), F.lit(-1).alias("since")), step, _BLOCK)
+    return fold(lines, F.struct(F.lit(0).alias("i"), F.lit(-1).alias("since")), step, _BLOCK)
+
+
+def _spans(lines: Column, texts: bool) -> Column:
+    """array<struct<type, s, e>> of all blocks, the one that is open at the end included."""
 
     def ended(x: Column) -> Column:
-        rest = one("ejs", x["state"]["since"], x["state"]["i"] - 1)
+        rest = _one("ejs", x["state"]["since"], x["state"]["i"] - 1)
         return F.when(x["state"]["since"] >= 0, F.concat(x["out"], rest)).otherwise(x["out"])
 
-    return let(done, ended)
+    return let(_folded(lines, texts), ended)
+
+
+def ends_open(content: Column) -> Column:
+    """Whether a block is open after the last line."""
+    return _folded(lines_of(content), texts=False)["state"]["since"] >= 0
 
 
 def _raw(lines: Column, b: Column) -> Column:

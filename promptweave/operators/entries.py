@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptweave.functions import patterns as P
 from promptweave.functions import text as T
 
+from .ordered import ranked
+
 #: Columns that the operators read, with type and the value of a missing field.
 CORE = {
     "book_id": ("bigint", "0"),
@@ -91,14 +93,9 @@ def sort_keys(static: Column, copy: Column, supplement: Column) -> list[Column]:
     ]
 
 
-def ranked(entries: DataFrame, keys: list[Column], name: str = "rn") -> DataFrame:
-    """entries with their 0-based place in the book under the keys."""
-    return entries.withColumn(name, F.row_number().over(Window.partitionBy("book_id").orderBy(*keys)).cast("bigint") - 1)
-
-
-def plain_sort(entries: DataFrame, name: str = "rn") -> DataFrame:
+def plain_sort(entries: DataFrame, name: str = "rn", ranges: bool | None = None) -> DataFrame:
     """Place in the six-key sort of a book that carries no copies or wrappers of its own."""
-    return ranked(entries, sort_keys(T.is_static(F.col("content")), F.lit(False), F.lit(False)), name)
+    return ranked(entries, sort_keys(T.is_static(F.col("content")), F.lit(False), F.lit(False)), name, ranges)
 
 
 def renumbered(entries: DataFrame, place: str = "rn") -> DataFrame:

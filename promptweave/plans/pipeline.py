@@ -11,6 +11,8 @@ from promptweave.functions import tags as G
 from promptweave.functions import text as T
 from promptweave.operators import boundaries as D
 from promptweave.operators import entries as E
+from promptweave.operators.ordered import by_ranges, in_ranges, numbered
+from promptweave.tables import written
 
 
 # Analyze
@@ -102,7 +104,7 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(F.when(F.size(inner) > 0, wrapped), rest)), "\n\n")
 
 
-def split(entries: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
+def split(entries: DataFrame, analysis: DataFrame | None = None, ranges: bool | None = None) -> DataFrame:
     """Mixed entries become a static and a dynamic one, in this order; all are renumbered in place.
 
     analysis, if given, holds book_id, uid and the columns of `analyze`; of several rows with one uid the last by seq
@@ -125,28 +127,38 @@ def split(entries: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
     splits = F.coalesce((F.size("_still") > 0) & (F.size("_moving") > 0), F.lit(False))
     out = F.when(splits, F.array(child(0, "_still", P.SPLIT_STATIC), child(1, "_moving", P.SPLIT_DYNAMIC))).otherwise(F.array(own))
     rows = rows.withColumn("_child", F.explode_outer(out)).withColumns({"content": F.col("_child.content"), "comment": F.col("_child.comment")})
-    rows = E.ranked(rows, [F.col("seq"), F.col("_child.side")])
+    rows = rows.withColumn("_side", F.col("_child.side")).drop("_child", "_parts", "_still", "_moving", *[c for c in ANALYSIS if c in rows.columns])
+    if by_ranges(E.complete(entries)) if ranges is None else ranges:
+        rows = numbered(in_ranges(written(rows, "split"), [F.col("seq"), F.col("_side")], "split-sorted"), "rn")
+    else:
+        rows = E.ranked(rows, [F.col("seq"), F.col("_side")], ranges=False)
     at = F.col("rn")
-    extra = [c for c in ANALYSIS if c in rows.columns]
-    return rows.withColumns({"uid": at, "display_index": at, "seq": at}).drop("rn", "_child", "_parts", "_still", "_moving", *extra)
+    return rows.withColumns({"uid": at, "display_index": at, "seq": at}).drop("rn", "_side")
 
 
 # Reorder
 
 
-def reorder(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME) -> DataFrame:
+def reorder(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME, ranges: bool | None = None) -> DataFrame:
     """Stable text first: copies of boundaries around dynamic passages, a wrapper around all that moves, the six-key
     sort, pruning, renumbering and the field rules.
 
-    One shuffle by book_id serves every window of the step; no joins.
+    One shuffle by book_id serves every window of the step, without joins.  With ranges (None: where a book is too large
+    for one task) every order is laid out over all tasks instead.
     """
-    rows = D.with_derived(E.complete(entries).repartition("book_id"), wrapper_name)
+    if ranges is None:
+        ranges = by_ranges(E.complete(entries))
+    rows = E.complete(entries)
+    rows = D.with_derived(written(rows, "unordered"), wrapper_name, True) if ranges else D.with_derived(rows.repartition("book_id"), wrapper_name)
     rows = rows.withColumns({"_copy_row": F.col("_batch") == 1, "_supp": F.col("_batch") == 2, "_static_text": T.is_static(F.col("content"))})
     keys = E.sort_keys(F.col("_static_text"), F.col("_copy_row"), F.col("_supp"))[:-1] + [F.col("_batch"), F.col("_tie")]
-    kept = D.pruned(E.ranked(rows, keys)).withColumnRenamed("rn", "_place")
-    kept = E.renumbered(E.ranked(kept, [F.col("_place")]))
+    if ranges:
+        kept = E.renumbered(numbered(D.pruned_by_ranges(in_ranges(written(rows, "derived"), keys, "sorted")), "rn"))
+    else:
+        kept = D.pruned(E.ranked(rows, keys, ranges=False)).withColumnRenamed("rn", "_place")
+        kept = E.renumbered(E.ranked(kept, [F.col("_place")], ranges=False)).drop("_place")
     kept = kept.withColumns(D.field_rules(F.col("_static_text"), F.col("_copy_row") | F.col("_supp")))
-    return kept.drop("_copy_row", "_supp", "_pair", "_batch", "_tie", "_static_text", "_place")
+    return kept.drop("_copy_row", "_supp", "_pair", "_batch", "_tie", "_static_text")
 
 
 # Merge
@@ -157,7 +169,7 @@ def mergeable(entries: DataFrame) -> Column:
     return ~E.is_outlet(F.col("position")) & ~F.col("disable") & ~T.is_copy(comment) & ~T.is_supplement(comment) & T.is_static(F.col("content"))
 
 
-def merge(entries: DataFrame) -> DataFrame:
+def merge(entries: DataFrame, ranges: bool | None = None) -> DataFrame:
     """Static entries of one position, constancy and depth become one: contents joined in order by blank lines, fields
     but position, constant, depth and role at their defaults.  Entries alone in their group stay as they are."""
     rows = E.complete(entries)
@@ -176,7 +188,10 @@ def merge(entries: DataFrame) -> DataFrame:
     out = [F.when(several, merged[c]).otherwise(low[c]).alias(c) if c in merged else F.when(~several, low[c]).alias(c) for c in rest]
     seen = F.array_min(F.transform("_all", lambda x: x["seq"]))
     found = groups.select("book_id", "position", "constant", "depth", low["ord"].alias("ord"), *out, F.when(F.col("_can"), 0).otherwise(1).alias("_batch"), seen.alias("_seen"))
-    return E.renumbered(E.ranked(found, [F.col("ord"), F.col("_batch"), F.col("_seen")])).drop("_batch", "_seen")
+    if ranges is None:
+        ranges = by_ranges(E.complete(entries))
+    found = written(found, "merged") if ranges else found
+    return E.renumbered(E.ranked(found, [F.col("ord"), F.col("_batch"), F.col("_seen")], ranges=ranges)).drop("_batch", "_seen")
 
 
 def _by_order(a: Column, b: Column) -> Column:
@@ -184,5 +199,7 @@ def _by_order(a: Column, b: Column) -> Column:
     return F.when(before, -1).otherwise(1)
 
 
-def pipeline(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME) -> DataFrame:
-    return merge(reorder(split(entries), wrapper_name))
+def pipeline(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME, ranges: bool | None = None) -> DataFrame:
+    if ranges is None:
+        ranges = by_ranges(E.complete(entries))
+    return merge(reorder(split(entries, ranges=ranges), wrapper_name, ranges), ranges)

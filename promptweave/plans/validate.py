@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +14,11 @@ from promptweave.functions import tags as G
 from promptweave.functions import text as T
 from promptweave.functions.folds import fold, let
 from promptweave.operators import entries as E
+from promptweave.operators.ordered import in_ranges, running
 from promptweave.sources.books import chain_counts
+from promptweave.tables import written
 
-from .prompt import prompt_text, sections
+from .prompt import sections
 
 
 def finding(rows: DataFrame, code: str, level: str, scope: str, message: Column, uid: Column | None = None) -> DataFrame:
@@ -117,21 +120,27 @@ def _one(code: str, level: str, bad: Column, message: Column) -> Column:
     return F.array_compact(F.array(F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), message.alias("message")))))
 
 
-def b1(text: Column) -> Column:
+def b1(text: Column, lines_before: Column | None = None) -> Column:
     """A block that is opened after the last closed one."""
     closed = F.aggregate(F.regexp_extract_all(text, F.lit(r"(?s)\G.*?<%.*?%>"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
     at = F.locate("<%", F.substring(text, closed + 1, F.length(text)))
-    return _one("B1", "error", at > 0, _said("EJS block not closed near line ", _line(text, closed + at - 1)))
+    return _one("B1", "error", at > 0, _said("EJS block not closed near line ", _line(text, closed + at - 1) + (0 if lines_before is None else lines_before)))
 
 
-def b2(text: Column) -> Column:
-    net = B.code_balance(text)
+def _unbalanced(net: Column) -> Column:
     return _one("B2", "error", net != 0, _said("EJS brace unbalanced: net=", net))
 
 
-def tag_rules(text: Column) -> Column:
-    """C3 crossing, C4 unclosed, C5 unopened tags."""
-    tokens = F.filter(G.tag_tokens(text), lambda t: ~t["tag"].isin(P.NOT_TAGS))
+def b2(text: Column) -> Column:
+    return _unbalanced(B.code_balance(text))
+
+
+def _tag_tokens(text: Column) -> Column:
+    return F.filter(G.tag_tokens(text), lambda t: ~t["tag"].isin(P.NOT_TAGS))
+
+
+def _tag_findings(tokens: Column, line_of: Callable[[Column], Column]) -> Column:
+    """C3 crossing, C4 unclosed, C5 unopened tags of tokens (tag, closes, at)."""
     kind = "struct<code:string,tag:string,other:string,at:int>"
     none = F.array().cast(f"array<{kind}>")
 
@@ -148,10 +157,8 @@ def tag_rules(text: Column) -> Column:
         both = let(F.struct(F.when(t["closes"], G.pop(opened, t)).alias("p")), taken)
         return both["opened"], both["out"]
 
-    done = fold(tokens, F.lit(""), step, kind)
-
     def told(x: Column) -> Column:
-        line = _line(text, x["at"])
+        line = line_of(x["at"])
         said = (
             F.when(x["code"] == "C3", _said("XML tag crossing: <", x["tag"], "> not closed before </", x["other"], "> near line ", line))
             .when(x["code"] == "C4", _said("XML tag <", x["tag"], "> unclosed near line ", line))
@@ -159,15 +166,28 @@ def tag_rules(text: Column) -> Column:
         )
         return F.struct(x["code"].alias("code"), F.lit("error").alias("level"), said.alias("message"))
 
+    done = fold(tokens, F.lit(""), step, kind)
     all_found = let(done, lambda x: F.concat(x["out"], F.transform(G.still_open(x["state"]), lambda o: one("C4", o["tag"], None, o["at"]))))
     return F.transform(all_found, told)
 
 
-def e1(text: Column) -> Column:
-    opens, closes = (F.regexp_count(text, F.lit(p)) for p in (r"\{\{", r"\}\}"))
+def tag_rules(text: Column) -> Column:
+    """C3 crossing, C4 unclosed, C5 unopened tags."""
+    return _tag_findings(_tag_tokens(text), lambda at: _line(text, at))
+
+
+def _macro_counts(text: Column) -> tuple[Column, Column]:
+    return F.regexp_count(text, F.lit(r"\{\{")), F.regexp_count(text, F.lit(r"\}\}"))
+
+
+def _mismatched(opens: Column, closes: Column) -> Column:
     return _one("E1", "warning", opens != closes, _said("Macro brace mismatch: opens=", opens, ", closes=", closes))
 
 
+def e1(text: Column) -> Column:
+    return _mismatched(*_macro_counts(text))
+
+
 def e2(text: Column) -> Column:
     shape = r"(?s)<%[-=](.*?)%>"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(shape), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(shape), F.lit(1)).alias("body"))
@@ -178,17 +198,130 @@ def e2(text: Column) -> Column:
 def text_findings(texts: DataFrame) -> DataFrame:
     """Findings on assembled prompts (book_id, text), in one pass over them."""
     text = F.col("text")
-    found = texts.select("book_id", F.explode_outer(F.concat(b1(text), b2(text), tag_rules(text), e1(text), e2(text))).alias("f")).filter("f is not null")
+    return _assembled(texts.select("book_id", F.explode(F.concat(b1(text), b2(text), tag_rules(text), e1(text), e2(text))).alias("f")))
+
+
+def _assembled(found: DataFrame) -> DataFrame:
     return found.select("book_id", F.col("f.code").alias("code"), F.col("f.level").alias("level"), F.lit("assembled").alias("scope"), F.lit(None).cast("bigint").alias("uid"), F.col("f.message").alias("message"))
 
 
+# The same rules on the parts of prompts, so that no prompt has to stand in one row
+
+
+def _after(text: Column, sign: str) -> Column:
+    return F.substring(text, F.locate(sign, text) + len(sign), F.length(text))
+
+
+def _moves(text: Column) -> dict[str, Column]:
+    """How a part of a prompt leads on what is open where it begins: name0 and name1 tell whether a block is open after
+    it, if none or one is before it.  code: <% to %>; out: <%- or <%= to %>; lines: blocks as the brace rule folds them."""
+    touches = F.contains(text, F.lit("<%")) | F.contains(text, F.lit("%>"))
+
+    def left(sign: str) -> Callable[[Column], Column]:
+        return lambda x: T.has(F.regexp_replace(x, rf"(?s){sign}.*?%>", "\n"), sign)
+
+    rules = {"code": left("<%"), "out": left("<%[-=]"), "lines": B.ends_open}
+    found = {}
+    for name, ends_open in rules.items():
+        # Lines end with the one that closes; the other two go on right after the sign.
+        rest = _after(_after(text, "%>"), "\n") if name == "lines" else _after(text, "%>")
+        none_left = F.locate("\n", _after(text, "%>")) == 0 if name == "lines" else F.lit(False)
+        found[f"{name}0"] = F.when(touches, ends_open(text)).otherwise(False)
+        found[f"{name}1"] = F.when(~touches | (F.locate("%>", text) == 0), True).when(none_left, False).otherwise(ends_open(rest))
+    return found
+
+
+_AUTOMATA = ("code", "out", "lines")
+
+
+def _any_open(parts: DataFrame) -> DataFrame:
+    """Light rows in ranges with _moves -> with _open: whether any block is open where the part begins.
+
+    A part either sets what is open, or keeps it, or turns it over; so what holds is the last that was set, turned over
+    as often as parts have done so since: a running sum and a last value, both carried from range to range.
+    """
+    turns = {f"_{a}_t": F.when(F.col(f"{a}0") & ~F.col(f"{a}1"), 1).otherwise(0) for a in _AUTOMATA}
+    rows = running(parts, turns)
+    scan = Window.partitionBy("book_id", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("book_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sets = {a: F.when(F.col(f"{a}0") == F.col(f"{a}1"), F.struct(F.col(f"{a}0").cast("int").alias("v"), F.col(f"_{a}_t").alias("t"))) for a in _AUTOMATA}
+    lasts = rows.groupBy("book_id", "_range").agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("_at"))).alias(f"_{a}_l") for a, v in sets.items()])
+    lasts = lasts.select("book_id", "_range", *[F.last(f"_{a}_l", ignorenulls=True).over(earlier).alias(f"_{a}_e") for a in _AUTOMATA])
+    rows = rows.withColumns({f"_{a}_s": F.last(v, ignorenulls=True).over(scan) for a, v in sets.items()}).join(lasts, ["book_id", "_range"])
+    opened = F.lit(False)
+    for a in _AUTOMATA:
+        last, turned = F.coalesce(f"_{a}_s", f"_{a}_e"), F.col(f"_{a}_t") - turns[f"_{a}_t"]
+        opened = opened | (F.coalesce(last["v"] + turned - last["t"], turned) % 2 == 1)
+    return rows.withColumn("_open", opened).select("book_id", "_range", "_at", "_open")
+
+
+_SIGN = "\x03"
+
+
+def _residue(tokens: Column) -> Column:
+    """Tag tokens (tag, closes, at) without those that open and close with nothing left between, which no rule can
+    concern: what is left of parts, in order, has the findings of the whole."""
+
+    def step(kept: Column, t: Column) -> tuple[Column, Column]:
+        top = F.concat(F.lit("\x01"), t["tag"], F.lit("\x02"))
+        last = F.substring_index(kept, "\x01", -1)
+        cancels = t["closes"] & F.startswith(F.concat(F.lit("\x01"), last), top)
+        shorter = F.substring(kept, F.lit(1), F.length(kept) - F.length(last) - 1)
+        longer = F.concat(kept, F.lit("\x01"), F.when(t["closes"], _SIGN).otherwise(""), t["tag"], F.lit("\x02"), t["at"].cast("string"))
+        return F.when(cancels, shorter).otherwise(longer), F.array().cast("array<int>")
+
+    entries = F.filter(F.split(fold(tokens, F.lit(""), step, "int")["state"], "\x01", -1), lambda x: x != "")
+    name = lambda x: F.substring_index(x, "\x02", 1)
+    return F.transform(entries, lambda x: F.struct(F.replace(name(x), F.lit(_SIGN), F.lit("")).alias("tag"), F.startswith(x, F.lit(_SIGN)).alias("closes"), F.substring_index(x, "\x02", -1).cast("int").alias("at")))
+
+
+def _gathered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Residues of rows as one for each key, in order."""
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "tokens"))).alias("all"))
+    return listed.withColumn("tokens", F.flatten(F.transform("all", lambda x: x["tokens"]))).drop("all")
+
+
+def prompt_findings(parts: DataFrame) -> DataFrame:
+    """Findings on assembled prompts, from their parts as `sections` gives them: those of `text_findings`.
+
+    Parts are laid out in ranges; a prompt is cut wherever no block is open, so a row holds but the parts that an open
+    block connects.  Counts and brace balances are added up; of tags, each piece passes on what it leaves unmatched.
+    """
+    order = ["section", "part_group", "part_kind", "part_rn", "part_line"]
+    laid = in_ranges(parts.filter("text is not null").select("book_id", *order, "text"), [F.col(c) for c in order], "parts").drop(*order)
+    text = F.col("text")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    light = written(laid.select("book_id", "_range", "_at", lines.cast("bigint").alias("lines"), *[v.alias(k) for k, v in _moves(text).items()]), "part-moves")
+    begins = light.join(_any_open(light.drop("lines")), ["book_id", "_range", "_at"])
+    begins = running(begins.select("book_id", "_range", "_at", "lines", F.when(F.col("_open"), 0).otherwise(1).alias("_new")), {"_piece": F.col("_new"), "_lines": F.col("lines")})
+    begins = begins.select("book_id", "_range", "_at", "_piece", (F.col("_lines") - F.col("lines")).alias("before"))
+
+    pieces = laid.join(begins, ["book_id", "_range", "_at"]).groupBy("book_id", "_piece").agg(
+        F.min("before").alias("before"), F.min("_at").alias("_at"), F.min("_range").alias("_range"), F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("all")
+    )
+    pieces = pieces.withColumn("text", F.array_join(F.transform("all", lambda x: x["text"]), "\n")).drop("all")
+    line = lambda at: _line(text, at) + F.col("before")
+    opens, closes = _macro_counts(text)
+    tokens = _residue(_tag_tokens(text))
+    tokens = F.transform(tokens, lambda t: F.struct(t["tag"].alias("tag"), t["closes"].alias("closes"), line(t["at"]).cast("int").alias("at")))
+    facts = written(pieces.select("book_id", "_range", "_at", b1(text, F.col("before")).alias("b1"), e2(text).alias("e2"), B.code_balance(text).alias("net"), opens.alias("opens"), closes.alias("closes"), tokens.alias("tokens")), "piece-facts")
+
+    sums = facts.groupBy("book_id").agg(F.sum("net").alias("net"), F.sum("opens").alias("opens"), F.sum("closes").alias("closes"))
+    sums = sums.select("book_id", F.concat(_unbalanced(F.col("net")), _mismatched(F.col("opens"), F.col("closes"))).alias("f"))
+    left = _gathered(facts.filter(F.size("tokens") > 0).select("book_id", "_range", "_at", "tokens"), ["book_id", "_range"], "_at")
+    left = _gathered(left.withColumn("tokens", _residue(F.col("tokens"))), ["book_id"], "_range")
+    tags = left.select("book_id", _tag_findings(F.col("tokens"), lambda at: at).alias("f"))
+    found = facts.select("book_id", F.concat("b1", "e2").alias("f")).unionByName(sums).unionByName(tags)
+    return _assembled(found.select("book_id", F.explode("f").alias("f")))
+
+
 STRICT = ["F1", "F2", "F3", "F4", "F5", "F7", "F8"]
 
 
 def validate(entries: DataFrame, strict: bool = False) -> DataFrame:
     """All findings of a set of books: rules on entries, across entries and on the assembled prompts."""
     rows = E.complete(entries)
-    found = [entry_findings(rows, ["D1", *(STRICT if strict else [])]), d2(rows), text_findings(prompt_text(sections(rows)))]
+    found = [entry_findings(rows, ["D1", *(STRICT if strict else [])]), d2(rows), prompt_findings(sections(rows))]
     if strict:
         found.append(f6(rows))
     if "raw" in entries.columns and "map_key" in entries.columns:

@@ -506,7 +506,7 @@ UNION ALL {_finding("E2", "NULL", "'EJS output block contains nested macro: ' ||
 
 @query(TEXT_SQL, with_flawed(f"{_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
 def val_text(spark, sf_dir):
-    return validate.text_findings(prompt.prompt_text(prompt.sections(flawed(spark, sf_dir))))
+    return validate.prompt_findings(prompt.sections(flawed(spark, sf_dir)))
 
 
 _ALL = " UNION ALL ".join([*ENTRY_SQL.values(), _F6, _D2, TEXT_SQL])
