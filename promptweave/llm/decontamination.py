@@ -16,8 +16,6 @@ from .common import read_table, small_batches
 
 #: Word edits allowed per word of a test item: a similarity of 0.8 or more counts.
 ERROR_RATE = 0.2
-#: An item with fewer characters in its words is found only where a document holds nothing else.
-LEAST_CHARS = 8
 #: Characters of test items in one broadcast; a larger benchmark is matched in as many blocks as it takes.
 BLOCK_CHARS = 8_000_000
 # Scripts written without blanks, of which every character is a word: Thai, Lao, Myanmar, Khmer, kana, Han.
@@ -38,12 +36,11 @@ class Item:
     item_id: int
     size: int
     budget: int
-    alone: bool
     masks: dict[str, int]
     pieces: list[tuple[int, str]]
 
 
-def prepare(item_id: int, text: str | None, rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> Item | None:
+def prepare(item_id: int, text: str | None, rate: float = ERROR_RATE) -> Item | None:
     """An item cut into budget + 1 runs of words, (first word, words joined by blanks).
 
     `budget` edits touch at most `budget` of the pieces, so a match leaves one piece unchanged.  The budget of a short
@@ -57,7 +54,7 @@ def prepare(item_id: int, text: str | None, rate: float = ERROR_RATE, least: int
     masks: dict[str, int] = {}
     for i, w in enumerate(words):
         masks[w] = masks.get(w, 0) | 1 << i
-    return Item(item_id, len(words), budget, sum(map(len, words)) < least, masks, [(i, " ".join(words[i:j])) for i, j in zip(cuts, cuts[1:])])
+    return Item(item_id, len(words), budget, masks, [(i, " ".join(words[i:j])) for i, j in zip(cuts, cuts[1:])])
 
 
 def myers_best(masks: dict[str, int], size: int, text: list[str]) -> tuple[int, int]:
@@ -86,8 +83,8 @@ def myers_best(masks: dict[str, int], size: int, text: list[str]) -> tuple[int,
 class Matcher:
     """Finds items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> None:
-        self.items = [x for x in (prepare(i, t, rate, least) for i, t in items) if x]
+    def __init__(self, items: list[tuple[int, str | None]], rate: float = ERROR_RATE) -> None:
+        self.items = [x for x in (prepare(i, t, rate) for i, t in items) if x]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
             for first, piece in item.pieces:
@@ -110,9 +107,7 @@ class Matcher:
                 starts = np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
             word = int(np.searchsorted(starts, end - length))
             for n, first in at:
-                item = self.items[n]
-                if not item.alone or len(words) == item.size:
-                    near.setdefault(n, set()).add(max(0, word - first - item.budget))
+                near.setdefault(n, set()).add(max(0, word - first - self.items[n].budget))
         for n, lows in near.items():
             item = self.items[n]
             for low, high in _merged(sorted(lows), item.size + 2 * item.budget):

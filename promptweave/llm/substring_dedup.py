@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -126,26 +126,26 @@ def _path_batches(window: int, kmer: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bits)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
             for rows, texts in _blocks(batch):
                 lengths = np.array([len(t) for t in texts])
                 hasher.load([w for t in texts for w in t])
                 doc, first, last, mark, content = paths(hasher, lengths, window, kmer)
                 base = np.concatenate(([0], np.cumsum(lengths)))[doc]
-                cols = [_signed(mark), _signed(content), pa.array(ids[np.array(rows)[doc]].astype(np.int64)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["mark", "content", "doc_id", "first", "last"])
+                own = np.array(rows)[doc]
+                cols = [_signed(mark), _signed(content), pa.array(ids[own].astype(np.int64)), pa.array(twins[own].astype(np.int64)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["mark", "content", "doc_id", "twin", "first", "last"])
 
     return run
 
 
 def _edge_batches(window: int, bits: int):
-    """Rows with text and `at`, the paths to take apart: a row for each of their windows.  Of several texts under one
-    doc_id each has the windows that fit into it."""
+    """Rows with text and `at`, the paths to take apart: a row for each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bits)
         for batch in batches:
-            ids, at = batch.column("doc_id").to_pylist(), batch.column("at").to_pylist()
+            ids, twins, at = (batch.column(c).to_pylist() for c in ("doc_id", "twin", "at"))
             for rows, texts in _blocks(batch):
                 hasher.load([w for t in texts for w in t])
                 base, starts, marks, docs = 0, [], [], []
@@ -156,13 +156,13 @@ def _edge_batches(window: int, bits: int):
                             continue
                         starts.append(np.arange(base + p["first"], base + p["first"] + n))
                         marks.append(np.full(n, p["mark"], np.int64))
-                        docs.append(np.stack((np.full(n, ids[i], np.int64), np.arange(p["first"], p["first"] + n)), axis=1))
+                        docs.append(np.stack((np.full(n, ids[i], np.int64), np.full(n, twins[i], np.int64), np.arange(p["first"], p["first"] + n)), axis=1))
                     base += len(t)
                 if not starts:
                     continue
                 start, who = np.concatenate(starts), np.concatenate(docs)
-                cols = [pa.array(np.concatenate(marks)), _signed(hasher.runs(start, start + window)), pa.array(who[:, 0].copy()), pa.array(who[:, 1].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["mark", "content", "doc_id", "first"])
+                cols = [pa.array(np.concatenate(marks)), _signed(hasher.runs(start, start + window)), pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array(who[:, 2].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["mark", "content", "doc_id", "twin", "first"])
 
     return run
 
@@ -186,11 +186,11 @@ def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Rows with text and `asked`, places (t, n) in it: the digest of the words that stand there."""
     for batch in batches:
         rows = []
-        for doc_id, text, (at, size) in zip(batch.column("doc_id").to_pylist(), batch.column("text"), _lists(batch.column("asked"), "t", "n")):
+        for doc_id, twin, text, (at, size) in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), _lists(batch.column("asked"), "t", "n")):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-            rows += [(doc_id, t, n, _digest(words[t : t + n])) for t, n in zip(at.to_pylist(), size.to_pylist())]
-        cols = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["source", "t", "n", "digest"])
+            rows += [(doc_id, twin, t, n, _digest(words[t : t + n])) for t, n in zip(at.to_pylist(), size.to_pylist())]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["source", "source_twin", "t", "n", "digest"])
 
 
 def _cut_text(words: list[bytes], start: pa.Array, end: pa.Array, digests: pa.Array) -> tuple[int, bytes]:
@@ -230,65 +230,73 @@ def _keep_batches(keep_text: bool):
 
 
 def _repeated(rows: DataFrame, texts: DataFrame, window: int, bits: int) -> DataFrame:
-    """rows: all paths.  Spans (doc_id, s, e, source, t) of words under windows that start in the smaller doc_id source
-    too, at its word t."""
+    """rows: all paths.  Spans (doc_id, twin, s, e, source, source_twin, t) of words under windows that start in the
+    smaller doc_id source too, at its word t; twin, a hash of the text, tells texts under one doc_id apart."""
     # Minimizers of two documents or more; all others are done with.  Aggregates are written before they are joined:
     # then both sides of each join come straight from a shuffle, and Spark splits a hot key's partition.
-    at = F.min(F.struct("doc_id", "first"))
+    at = F.min(F.struct("doc_id", "twin", "first"))
+    its = [F.col("at.doc_id").alias("source"), F.col("at.twin").alias("source_twin"), F.col("at.first").alias("t")]
+    span = ["doc_id", "twin", "s", "e", "source", "source_twin", "t"]
     shared = saved(rows.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark"), "shared")
     met = saved(rows.join(shared, "mark"), "paths")
     dropped(rows, shared)
-    sources = saved(met.groupBy("mark", "content").agg(at.alias("at")).select("mark", "content", F.col("at.doc_id").alias("source"), F.col("at.first").alias("t")), "sources")
+    sources = saved(met.groupBy("mark", "content").agg(at.alias("at")).select("mark", "content", *its), "sources")
     branches = saved(sources.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"), "branches")
     told = met.join(sources, ["mark", "content"])
-    whole = told.filter("source < doc_id").select("doc_id", F.col("first").alias("s"), (F.col("last") + window).alias("e"), "source", "t")
+    whole = told.filter("source < doc_id").withColumns({"s": F.col("first"), "e": F.col("last") + window}).select(span)
     # The first document of a path may share some of the path's edges with others at a branch: take it apart.
     open_paths = told.filter("source = doc_id").join(branches, "mark")
-    parts = open_paths.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "first", "last")).alias("at"))
-    edges = texts.join(parts, F.col("doc_id") == F.col("id"), "left").filter("at is not null").select("doc_id", "text", "at")
-    edges = saved(edges.mapInArrow(_edge_batches(window, bits), "mark long, content long, doc_id long, first int"), "edges")
+    parts = open_paths.groupBy(F.col("doc_id").alias("id"), F.col("twin").alias("other")).agg(F.collect_list(F.struct("mark", "first", "last")).alias("at"))
+    edges = texts.join(parts, (F.col("doc_id") == F.col("id")) & (F.col("twin") == F.col("other")), "left").filter("at is not null").select("doc_id", "twin", "text", "at")
+    edges = saved(edges.mapInArrow(_edge_batches(window, bits), "mark long, content long, doc_id long, twin long, first int"), "edges")
     first_of = edges.groupBy("mark", "content").agg(at.alias("at"), F.max("doc_id").alias("high")).filter("at.doc_id < high")
-    first_of = saved(first_of.select("mark", "content", F.col("at.doc_id").alias("source"), F.col("at.first").alias("t")), "first-edges")
+    first_of = saved(first_of.select("mark", "content", *its), "first-edges")
     single = edges.join(first_of, ["mark", "content"]).filter("source < doc_id")
-    single = single.select("doc_id", F.col("first").alias("s"), (F.col("first") + window).alias("e"), "source", "t")
+    single = single.withColumns({"s": F.col("first"), "e": F.col("first") + window}).select(span)
     spans = saved(_joined(whole.unionByName(single)), "spans")
     dropped(met, sources, branches, edges, first_of)
     return spans
 
 
 def _joined(spans: DataFrame) -> DataFrame:
-    """Spans of one document that stand as far apart in one source, where they touch, as one: a run of edges becomes one
+    """Spans of one text that stand as far apart in one source, where they touch, as one: a run of edges becomes one
     path again."""
-    line = Window.partitionBy("doc_id", "source", F.col("s") - F.col("t")).orderBy("s", "e")
+    ends = ["doc_id", "twin", "source", "source_twin"]
+    line = Window.partitionBy(*ends, F.col("s") - F.col("t")).orderBy("s", "e")
     before = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("s") <= before, 0).otherwise(1)
     runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "source", (F.col("s") - F.col("t")).alias("off"), "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return found.select("doc_id", "s", "e", "source", (F.col("s") - F.col("off")).alias("t"))
+    found = runs.groupBy(*ends, (F.col("s") - F.col("t")).alias("off"), "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return found.select("doc_id", "twin", "s", "e", "source", "source_twin", (F.col("s") - F.col("off")).alias("t"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = 64) -> DataFrame:
-    """doc_id, s, e, source, t: runs of words s .. e - 1 of a document that by their hashes stand in the document source
+    """doc_id, twin, s, e, source, source_twin, t: runs of words s .. e - 1 of a document that by their hashes stand in the document source
     as well, from its word t on; source has the smallest id of all that hold them.  Runs of one document may overlap.
-    Null ids and texts have none."""
+    The twins are hashes of the texts that the places are in.  Null ids and texts have none."""
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    rows = texts.filter("doc_id is not null").mapInArrow(_path_batches(window, kmer, bits), "mark long, content long, doc_id long, first int, last int")
+    texts = docs.select("doc_id", "text", _twin())
+    rows = texts.filter("doc_id is not null").mapInArrow(_path_batches(window, kmer, bits), "mark long, content long, doc_id long, twin long, first int, last int")
     return _repeated(saved(rows, "all-paths"), texts, window, bits)
 
 
+def _twin() -> Column:
+    return F.xxhash64("text").alias("twin")
+
+
 def verifiable(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """spans with digests: of the words at the source's coordinates, read from the source's text (one for each text
-    under its doc_id).  Whoever removes a span compares them with its own words.
+    """spans with digests: of the words at the source's coordinates, read from the source's text.  Whoever removes a span compares them with its own words.
 
     Each place of a source is read once, however many documents repeat it, and only texts that are a source are dealt.
     """
-    asked = spans.select("source", "t", (F.col("e") - F.col("s")).alias("n")).distinct()
-    parts = asked.groupBy("source").agg(F.collect_list(F.struct("t", "n")).alias("asked"))
-    read = texts_of(docs, spans.select(F.col("source").alias("doc_id"))).join(parts, F.col("doc_id") == F.col("source")).select("doc_id", "text", "asked")
-    digests = read.mapInArrow(_source_batches, "source long, t int, n int, digest binary").groupBy("source", "t", "n").agg(F.collect_set("digest").alias("digests"))
+    place = ["source", "source_twin", "t", "n"]
+    asked = spans.select("source", "source_twin", "t", (F.col("e") - F.col("s")).alias("n")).distinct()
+    parts = asked.groupBy("source", "source_twin").agg(F.collect_list(F.struct("t", "n")).alias("asked"))
+    read = texts_of(docs, spans.select(F.col("source").alias("doc_id"))).withColumn("twin", _twin())
+    read = read.join(parts, (F.col("doc_id") == F.col("source")) & (F.col("twin") == F.col("source_twin"))).select("doc_id", "twin", "text", "asked")
+    digests = read.mapInArrow(_source_batches, "source long, source_twin long, t int, n int, digest binary").groupBy(place).agg(F.collect_set("digest").alias("digests"))
     digests = saved(digests, "digests")
-    there = (F.col("spans.source") == F.col("d.source")) & (F.col("spans.t") == F.col("d.t")) & (F.col("e") - F.col("s") == F.col("d.n"))
+    there = (F.col("spans.source") == F.col("d.source")) & (F.col("spans.source_twin") == F.col("d.source_twin")) & (F.col("spans.t") == F.col("d.t")) & (F.col("e") - F.col("s") == F.col("d.n"))
     return spans.alias("spans").join(digests.alias("d"), there).select("spans.*", "d.digests")
 
 
@@ -317,10 +325,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, kee
     per path 32 bytes; every grouping is a minimum that combines on the map side, so a passage that a third of the
     corpus shares stays one row per task.
     """
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", _twin())
     spans = verifiable(repeated_spans(docs, window, kmer, bits), docs)
-    spans = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e", "digests")).alias("spans"))
-    joined = texts.join(spans, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "spans")
+    spans = spans.groupBy(F.col("doc_id").alias("id"), F.col("twin").alias("other")).agg(F.collect_list(F.struct("s", "e", "digests")).alias("spans"))
+    joined = texts.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("twin") == F.col("other")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_keep_batches(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
 
 

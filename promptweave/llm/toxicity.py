@@ -19,7 +19,8 @@ from .sampling import bounded_per_label
 #: The fit's sample: labelled rows of each class, and characters of their texts, in expectation.  Rows are taken whole.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 3000, 8_000_000
 HASH_BITS = 20
-#: Evidence in nats, beyond the logarithm of the number of terms or pairs tested, that lets a term or pair in.
+#: Evidence in nats, beyond the logarithm of how many terms or pairs are tested for each one let in, that lets one in:
+#: about one in twenty of those let in may be noise, and many rare terms together ask for less than one alone.
 EVIDENCE = 3.0
 LEAST_ROWS = 3
 #: Terms among which every pair is tested: those in the most sampled rows.
@@ -92,11 +93,19 @@ def _evidence(n: np.ndarray, hits: np.ndarray, expected: np.ndarray) -> np.ndarr
     return np.where(n >= LEAST_ROWS, n * both, 0)
 
 
+def _bar(found: np.ndarray, tested: int) -> float:
+    """Least evidence let in: the k strongest of `tested` are, for the largest k whose weakest has ln(tested / k) +
+    EVIDENCE nats (the false discovery rate of Benjamini and Hochberg); infinite if none has."""
+    ranked = np.sort(found[found >= EVIDENCE])[::-1]
+    enough = np.flatnonzero(ranked >= np.log(max(2, tested) / np.arange(1, len(ranked) + 1)) + EVIDENCE)
+    return float(ranked[enough[-1]]) if len(enough) else np.inf
+
+
 def _telling_terms(row: np.ndarray, col: np.ndarray, size: int, labels: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Terms whose rows are toxic more or less often than the machine expects of them."""
     n = np.bincount(col, minlength=size)
     found = _evidence(n, np.bincount(col, labels[row], size), np.bincount(col, p[row], size))
-    return np.flatnonzero(found >= np.log(max(2, (n >= LEAST_ROWS).sum())) + EVIDENCE)
+    return np.flatnonzero(found >= _bar(found, int((n >= LEAST_ROWS).sum())))
 
 
 def _telling_pairs(row: np.ndarray, col: np.ndarray, size: int, labels: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -116,14 +125,16 @@ def _telling_pairs(row: np.ndarray, col: np.ndarray, size: int, labels: np.ndarr
     both = x.T @ x
     hits = x[labels > 0].T @ x[labels > 0]
     expected = (x * p[:, None].astype(np.float32)).T @ x
-    least = np.log(max(2, m * (m - 1) / 2)) + EVIDENCE
-    told = np.zeros(m, bool)
+    found = []
     for i in range(m - 1):  # a row of the matrix at a time keeps the tables of logarithms small
         # Terms that always stand together, such as a word and its beginning, are one term.
         apart = both[i, i + 1 :] < np.minimum(both[i, i], np.diagonal(both)[i + 1 :])
-        found = (_evidence(both[i, i + 1 :], hits[i, i + 1 :], expected[i, i + 1 :]) >= least) & apart
-        told[i] |= found.any()
-        told[i + 1 :] |= found
+        found.append(np.where(apart, _evidence(both[i, i + 1 :], hits[i, i + 1 :], expected[i, i + 1 :]), 0).astype(np.float32))
+    least = _bar(np.concatenate(found), m * (m - 1) // 2)
+    told = np.zeros(m, bool)
+    for i, x in enumerate(found):
+        told[i] |= (x >= least).any()
+        told[i + 1 :] |= x >= least
     return often[told]
 
 

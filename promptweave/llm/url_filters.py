@@ -10,8 +10,6 @@ from .common import read_table
 
 #: Most intervals that are broadcast; a longer list is joined by a shuffle that adaptive execution can split.
 BROADCAST_ROWS = 100_000
-#: Longer hosts are no hosts.
-HOST_CHARS = 253
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _FIRST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -62,22 +60,25 @@ def judged(captures: DataFrame, events: DataFrame) -> DataFrame:
     A capture meets the entries of its host, of every parent domain of two labels or more, and of each of these with
     the first part of its path, as of fetched_at: from valid_from on, before valid_to.  verdict: `allow` if a trusted
     entry stands on a key at least as long as any other active one; else `block` if any is active; else `none`.  A
-    null url, one without host or with a host of over 253 characters, and a null fetched_at meet nothing; host is then
-    null or as found.  Repeated rows are each returned; empty tables give no rows or no entries.
+    null url, one without host and a null fetched_at meet nothing; host is then null or as found.  Repeated rows are each returned; empty tables give no rows or no entries.
 
     Only captures that meet an entry are grouped, so a hot host costs no more than its rows; the list is broadcast
     when its counted size allows.
     """
     host = F.regexp_replace(F.lower(F.regexp_extract("url", _HOST, 1)), r"\.+$", "")
-    rows = captures.select("id", "url", "fetched_at", F.when((host != "") & (F.length(host) <= HOST_CHARS), host).alias("host"))
+    rows = captures.select("id", "url", "fetched_at", F.when(host != "", host).alias("host"))
     first = F.regexp_extract("url", _FIRST, 1)
+    listed = intervals(events)
+    known = listed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("labels")).first()
     labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Domains of more labels than any listed key has meet none, so a host of very many labels makes few.
+    last = F.greatest(F.size(labels) - 1, F.lit(1))
+    first_of = F.least(F.greatest(F.size(labels) - F.lit(known["labels"] or 1) + 1, F.lit(1)), last)
+    domains = F.transform(F.sequence(first_of, last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     with_path = F.when(first != "", F.transform("domains", lambda d: F.concat(d, F.lit("/"), F.lower(first)))).otherwise(F.array().cast("array<string>"))
     keyed = rows.filter("host is not null and fetched_at is not null").withColumn("domains", domains)
     keyed = keyed.select("id", "url", "fetched_at", F.explode(F.concat("domains", with_path)).alias("key"))
-    listed = intervals(events)
-    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if known["n"] <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
     active = keyed.join(listed, "key").filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     # One capture meets one key and category once; copies of a capture meet it once each, so distinct before counting.

@@ -170,6 +170,17 @@ def test_texts_under_one_id_are_judged_by_their_own_words(spark):
     assert got == [(1, 40, 0), (2, 40, 0), (7, 40, 0), (7, 80, 40), (7, 80, 40)]
 
 
+def test_texts_under_one_id_whose_repeats_meet(spark):
+    """Places of two texts of one id that would join to one span of their source, but stand in different texts."""
+    rng = random.Random(4)
+    words = sentence(rng, 120, "abcdefgh").split()
+    own = [sentence(rng, 60, "ijklmnop") for _ in range(2)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:60]) + " " + own[0]), (2, own[1] + " " + " ".join(words[60:]))]
+    rows += [(3, "x y " + own[0]), (3, own[1] + " z"), (4, own[0] + " " + own[1])]
+    got = sorted(tuple(r) for r in substring_dedup.without_repeats(documents(spark, rows), window=8, kmer=3).select("doc_id", "n_words", "n_removed").collect())
+    assert got == sorted((d, len(t.split()), n) for (d, t), n in zip(rows, [0, 60, 60, 60, 60, 120], strict=True))
+
+
 def test_repeats_twin_on_planted_texts(spark, tmp_path):
     rng = random.Random(6)
     pieces = [" ".join(rng.choice("abcd") for _ in range(rng.randint(20, 90))) for _ in range(6)]

@@ -32,12 +32,12 @@ def test_matcher_against_brute_force():
         items = [(i, blank.join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14)))) for i in range(5)]
         text = blank.join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))
         words = list(text.replace(" ", ""))
-        got = {m[0]: m[1] for m in decontamination.Matcher(items, least=3).find(text)}
+        got = {m[0]: m[1] for m in decontamination.Matcher(items).find(text)}
         want = {}
         for i, t in items:
             signs = list(t.replace(" ", ""))
             d = edit_distance(signs, words)
-            if d <= len(signs) // 5 and (len(signs) >= 3 or signs == words):
+            if d <= len(signs) // 5:
                 want[i] = d
         assert got == want
 
@@ -47,7 +47,9 @@ def test_short_and_unspaced_items():
     assert [m[0] for m in found("Question: what is 2 + 2 ? Four")] == [1]
     assert found("what is 2 or 2") == []
     assert [m[:2] for m in found("他說:請問台灣最高的山是哪座?我不知道")] == [(2, 1)]
-    assert [m[0] for m in found("yes!")] == [3] and found("yes, it is") == []
+    assert [m[0] for m in found("yes!")] == [3] and [m[:3] for m in found("well, yes, it is")] == [(3, 0, 1)]
+    short = decontamination.Matcher([(1, "2+2"), (2, "Who am I"), (3, "四海为家")]).find
+    assert [m[0] for m in short("so 2 + 2 it is; who am I, 他四海为家了")] == [1, 2, 3] and short("2 + 3, who are they, 四海一家") == []
 
 
 def test_repeated_pieces_are_read_once():
@@ -340,6 +342,24 @@ def test_machine_learns_a_rare_term():
     assert machine.score([machine.slots[7]]) >= 0.7 > machine.score([])
 
 
+@pytest.mark.parametrize(("insults", "each"), [(100, 15), (187, 8), (75, 20)])
+def test_machine_learns_a_long_tail(insults, each):
+    """Many insults of few rows each; the words around them stay out and texts without any stay clean."""
+    rng = random.Random(11)
+    neutral = ["n" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    bad = ["z" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(insults)]
+
+    def text(insult=()):
+        return " ".join([*rng.sample(neutral, 40), *insult])
+
+    texts = [text([x]) for x in bad for _ in range(each)] + [text() for _ in range(insults * each)]
+    labels = np.repeat([1.0, 0.0], insults * each)
+    machine = toxicity.fit_machine([np.array(sorted(toxicity.terms_of(t)), np.int32) for t in texts], labels)
+    score = toxicity.Scorer(machine).score
+    assert sum(score(text([x])) >= 0.7 for x in bad) >= 0.9 * insults
+    assert sum(score(text()) < 0.7 for _ in range(200)) >= 195
+
+
 def brute_score(machine, text):
     """The machine's formula by a loop over all pairs of terms, the terms by their definition."""
     words = {w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()}
