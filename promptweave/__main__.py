@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from promptweave.functions import patterns as P
 from promptweave.operators import entries as E
-from promptweave.plans import lineage, listing, pipeline, prompt, validate
-from promptweave.sources import books
+from promptweave.plans import lineage, pipeline, prompt, reports, validate
+from promptweave.sources import artifacts, books
+from promptweave.tables import written
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -23,11 +24,11 @@ def _parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name, help=text)
         if reads:
             p.add_argument("-i", "--input", required=True)
-        p.add_argument("-o", "--output", help="write the text there, one file a task, instead of printing it")
+        p.add_argument("-o", "--output", help="write the lines there instead of printing them")
         return p
 
-    p = command("pipeline", "analyze, split, reorder and merge; writes each step's books")
-    p.add_argument("-d", "--output-dir", required=True)
+    p = command("pipeline", "analyze, split, reorder and merge; writes <name>_<step>.json of each step for each book")
+    p.add_argument("-d", "--output-dir", help="the input's folder if not given")
     p.add_argument("-w", "--wrapper-name", default=P.WRAPPER_NAME)
     p = command("list", "entries in sorted order")
     p.add_argument("--csv", action="store_true")
@@ -50,9 +51,13 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", help="a file")
     p.add_argument("--scenario")
     p.add_argument("-C", "--no-comments", action="store_true")
-    p = command("validate", "findings")
+    p = command("validate", "findings and totals", reads=False)
+    p.add_argument("-i", "--input")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--pipeline-check", action="store_true", help="rules on a step's result instead")
+    p.add_argument("--pipeline-dir", help="check the chains of files in this folder")
+    p.add_argument("--pipeline-name", help="only the chain of this book")
+    p.add_argument("--output-errors", help="write the findings there, a JSON document a book")
     p = command("diff", "where entries went", reads=False)
     p.add_argument("--original", required=True)
     p.add_argument("--optimized", required=True)
@@ -61,6 +66,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--to-uid", type=int, nargs="*")
     p.add_argument("--to-search")
     p.add_argument("--summary", action="store_true")
+    p.add_argument("-f", "--format", choices=["unified", "json"], default="unified")
+    p.add_argument("--max-order-changes", type=int, default=0, help="accepted for compatibility; all changes of order are told")
     return top
 
 
@@ -72,18 +79,6 @@ def _json(df: DataFrame, *order: str) -> DataFrame:
     return df.select(*order, F.to_json(F.struct(*df.columns)).alias("line"))
 
 
-def _full(rows: DataFrame) -> DataFrame:
-    def shown(c: str):
-        return F.coalesce(F.col(c).cast("string"), F.lit("None"))
-
-    head = F.format_string(
-        "[%s] UID=%s  Order=%s  Pos=%s  Depth=%s  Static=%s  Constant=%s", shown("rn"), shown("uid"), shown("ord"), shown("position"), shown("depth"),
-        F.when(F.col("static"), "✓").otherwise("✗"), F.when(F.col("constant"), "✓").otherwise("✗"),
-    )
-    text = F.concat_ws("\n", F.lit("═" * 70), head, F.concat(F.lit("    Comment: "), "comment"), F.concat(F.lit("    Keys: "), "keys"), F.concat(F.lit("    "), "label"), F.lit("─" * 70), "preview", F.lit(""))
-    return rows.select("book_id", "rn", text.alias("line"))
-
-
 def _chosen(rows: DataFrame, uids: list[int] | None, search: str | None) -> DataFrame:
     rows = E.complete(rows)
     if uids:
@@ -91,75 +86,126 @@ def _chosen(rows: DataFrame, uids: list[int] | None, search: str | None) -> Data
     return E.by_search(rows, search, any_case=True) if search else rows
 
 
-def lines_of(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
-    """The command's result as ordered lines, the column `line`; None if it only writes."""
+def _ordered(lines: DataFrame, book: str = "book_id") -> DataFrame:
+    return lines.orderBy(book, "part", "rn")
+
+
+def _diff(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    # One book against its other form: both are the same book, whatever their files are called.
+    old, new = (books.read_books(spark, path).withColumn("book_id", F.lit(0).cast("bigint")) for path in (args.original, args.optimized))
+    names = tuple(os.path.basename(x) for x in (args.original, args.optimized))
+    if args.from_uid or args.from_search:
+        wanted = _chosen(old, args.from_uid, args.from_search).select("book_id", F.col("uid").alias("orig_uid"))
+        return _ordered(reports.forward_tree(old, new, names, wanted))
+    if args.to_uid or args.to_search:
+        wanted = _chosen(new, args.to_uid, args.to_search).select("book_id", F.col("uid").alias("opt_uid"))
+        return _ordered(reports.reverse_tree(old, new, names, wanted))
+    if args.summary:
+        return _json(lineage.summary(old, new))
+    raw = books.raw_books(spark, args.original)
+    removed = raw.filter(F.array_contains(F.json_object_keys("value"), "originalData")).select(F.lit(0).cast("bigint").alias("book_id"), F.lit("originalData").alias("name"))
+    if args.format == "json":
+        return reports.diff_document(old, new, (args.original, args.optimized), removed).select(F.col("document").alias("line"))
+    return _ordered(reports.diff_report(old, new, names, removed))
+
+
+def _run_steps(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """The four steps with a file for each step and book; the originals are backed up first."""
+    folder = args.output_dir or os.path.dirname(args.input) or "."
+    artifacts.backup(spark, args.input)
+    found = artifacts.named_books(spark, args.input)
+    names = found.select("book_id", "stem")
+    rows, told = books.parse_books(found), []
+
+    def done(step: str, n: int) -> None:
+        told.append(f"[{len(told) + 1}/{len(artifacts.STEPS)}] {step}: {n} files in {folder}")
+
+    analyzed = pipeline.analyze(rows).select("book_id", "seq", "uid", "comment", *pipeline.ANALYSIS)
+    texts = names.join(artifacts.analysis_json(analyzed, names), "book_id").select(F.concat("stem", F.lit("_analysis.json")).alias("name"), "value")
+    done("analysis", artifacts.write_files(texts, folder))
+    # Each step is written once and the next reads what was written, so that none runs twice.
+    split = written(pipeline.split(rows), "split")
+    done("split", artifacts.write_books(split, names, folder, "split"))
+    reordered = written(pipeline.reorder(split, args.wrapper_name), "reordered")
+    done("reordered", artifacts.write_books(reordered, names, folder, "reordered"))
+    done("merged", artifacts.write_books(pipeline.merge(reordered), names, folder, "merged"))
+    return told
+
+
+def _validated(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """(report lines, a JSON document a book) of a validation."""
+    if args.pipeline_dir:
+        names = spark.createDataFrame([(args.pipeline_name,)], "stem string") if args.pipeline_name else None
+        missing, counts, kept = artifacts.chain_of_files(spark, args.pipeline_dir, names)
+        names = names if names is not None else missing.select("stem").unionByName(counts.select("stem")).distinct()
+        found = validate.check_files(missing, counts, kept, names)
+        sources = names.select(F.col("stem").alias("book_id"), F.col("stem").alias("source"))
+        return _ordered(reports.chain_report(found, counts, kept, names, artifacts.STEPS), "stem"), reports.validation_document(found.withColumnRenamed("stem", "book_id"), sources)
+    absent = artifacts.missing_paths(spark, [args.input]).select(F.xxhash64("path").alias("book_id"), F.col("path").alias("source"))
+    found = validate.finding(absent, "A0", "error", "file", F.concat(F.lit("File not found: "), "source"))
+    if not absent.isEmpty():
+        return _ordered(reports.validation_report(found, absent)), reports.validation_document(found, absent)
+    named = artifacts.named_books(spark, args.input)
+    sources = named.select("book_id", artifacts.name_of(F.col("path")).alias("source"))
+    rows = books.parse_books(named)
+    if args.pipeline_check:
+        found = validate.check_artifact(rows).unionByName(validate.missing_books(sources.select("book_id"), rows))
+    else:
+        found = validate.validate(rows, args.strict).unionByName(_damaged(spark, args.input))
+    return _ordered(reports.validation_report(found, sources)), reports.validation_document(found, sources)
+
+
+def lines_of(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The command's result as ordered lines, the column `line`."""
     if args.command == "diff":
-        # One book against its other form: both are the same book, whatever their files are called.
-        old, new = (books.read_books(spark, path).withColumn("book_id", F.lit(0).cast("bigint")) for path in (args.original, args.optimized))
-        if args.from_uid or args.from_search:
-            wanted = _chosen(old, args.from_uid, args.from_search).select(F.col("uid").alias("orig_uid"))
-            return _json(lineage.forward(old, new).join(wanted, "orig_uid", "left_semi"), "orig_rn", "opt_rn").orderBy("orig_rn", "opt_rn")
-        if args.to_uid or args.to_search:
-            wanted = _chosen(new, args.to_uid, args.to_search).select(F.col("uid").alias("opt_uid"))
-            return _json(lineage.reverse(old, new).join(wanted, "opt_uid", "left_semi"), "opt_rn", "nth").orderBy("opt_rn", "nth")
-        if args.summary:
-            return _json(lineage.summary(old, new))
-        return lineage.report_lines(old, new).orderBy("orig_rn", "nth")
-    rows = books.read_books(spark, args.input)
+        return _diff(spark, args)
+    if args.command == "validate":
+        report, documents = _validated(spark, args)
+        if args.output_errors:
+            documents.select(F.col("document").alias("line")).coalesce(1).write.mode("overwrite").text(args.output_errors)
+        return report
     if args.command == "pipeline":
-        stem = os.path.splitext(os.path.basename(args.input))[0]
-        place = {step: f"{args.output_dir}/{books.artifact_name(stem, step)}" for step in ("analysis", "split", "reordered", "merged")}
-        pipeline.analyze(rows).select("book_id", "seq", "uid", "comment", *pipeline.ANALYSIS).write.mode("overwrite").json(place["analysis"])
-        # Each step reads what the one before has written, so that none runs twice.
-        books.write_books(pipeline.split(rows), place["split"])
-        split = books.reread(spark, place["split"])
-        books.write_books(pipeline.reorder(split, args.wrapper_name), place["reordered"])
-        books.write_books(pipeline.merge(books.reread(spark, place["reordered"])), place["merged"])
-        return None
+        return spark.createDataFrame([(x,) for x in _run_steps(spark, args)], "line string")
+    rows = books.read_books(spark, args.input)
     if args.command == "list":
-        found = listing.listing(rows, None if args.filter is None else args.filter == "static")
-        return (listing.listing_csv if args.csv else listing.listing_table)(found).orderBy("book_id", "rn")
+        return _ordered(reports.list_report(rows, None if args.filter is None else args.filter == "static", args.csv))
     if args.command == "list-full":
-        found = listing.full_listing(rows, None if args.filter is None else args.filter != "dynamic", args.uid, args.search, None if args.no_truncate else args.max_len)
-        return _full(found).orderBy("book_id", "rn")
+        return _ordered(reports.full_report(rows, None if args.filter is None else args.filter != "dynamic", args.uid, args.search, None if args.no_truncate else args.max_len))
     if args.command == "query":
+        order_range = tuple(args.order_range) if args.order_range else None
         if args.verify:
-            return _json(validate.check_artifact(rows), "book_id", "code").orderBy("book_id", "code")
+            return _ordered(reports.verify_report(rows, books.raw_books(spark, args.input).select(F.xxhash64("path").alias("book_id"))))
         if args.summary_only:
-            return _json(E.summary(E.complete(rows)), "book_id").orderBy("book_id")
-        found = listing.query(rows, args.filter, tuple(args.order_range) if args.order_range else None, args.search)
-        return (listing.query_csv if args.csv else listing.query_table)(found).orderBy("book_id", "rn")
-    if args.command == "prompt":
-        every = rows.select("book_id").distinct()
-        chat, card = (_file(spark, x) for x in (args.chat_history, args.character))
-        parts = prompt.sections(
-            rows,
-            chat=books.chat_messages(every.withColumn("value", F.lit(chat))) if chat is not None else None,
-            system=_file(spark, args.system_prompt),
-            persona=_file(spark, args.persona),
-            scenario=args.scenario,
-            card=books.character_card(every.withColumn("value", F.lit(card))) if card is not None else None,
-            comments=not args.no_comments,
-        )
-        return prompt.prompt_text(parts).select("book_id", F.col("text").alias("line")).orderBy("book_id")
-    found = validate.check_artifact(rows) if args.pipeline_check else validate.validate(rows, args.strict).unionByName(_damaged(spark, args.input))
-    return _json(found, "book_id", "code", "uid").orderBy("book_id", "code", "uid")
+            return _ordered(reports.summary_report(rows, args.filter, order_range, args.search))
+        return _ordered(reports.query_report(rows, args.filter, order_range, args.search, args.csv))
+    every = rows.select("book_id").distinct()
+    chat, card = (_file(spark, x) for x in (args.chat_history, args.character))
+    parts = prompt.sections(
+        rows,
+        chat=books.chat_messages(every.withColumn("value", F.lit(chat))) if chat is not None else None,
+        system=_file(spark, args.system_prompt),
+        persona=_file(spark, args.persona),
+        scenario=args.scenario,
+        card=books.character_card(every.withColumn("value", F.lit(card))) if card is not None else None,
+        comments=not args.no_comments,
+    )
+    return prompt.prompt_text(parts).select("book_id", F.col("text").alias("line")).orderBy("book_id")
 
 
 def _damaged(spark: SparkSession, path: str) -> DataFrame:
+    found = books.damaged_books(spark, path).filter(~F.contains("path", F.lit(artifacts.BACKUP)))
     said = F.when(F.col("code") == "A1", F.concat(F.lit("Invalid JSON: "), "path")).otherwise("entries is not a dict")
-    return books.damaged_books(spark, path).select(F.xxhash64("path").alias("book_id"), "code", F.lit("error").alias("level"), F.lit("file").alias("scope"), F.lit(None).cast("bigint").alias("uid"), said.alias("message"))
+    return found.select(F.xxhash64("path").alias("book_id"), "code", F.lit("error").alias("level"), F.lit("file").alias("scope"), F.lit(None).cast("bigint").alias("uid"), said.alias("message"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Iterable[str]:
-    """Runs a command; yields its lines unless they are written."""
+    """Runs a command; yields its lines unless they are written to a file."""
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("promptweave").getOrCreate()
     found = lines_of(spark, args)
-    if found is None:
-        return
     if args.output:
-        found.select("line").write.mode("overwrite").text(args.output)
+        # The lines' order is the report, so it is one file.
+        found.select("line").coalesce(1).write.mode("overwrite").text(args.output)
         return
     for row in found.select("line").toLocalIterator():
         yield row["line"]

@@ -165,10 +165,16 @@ def frontier(entries: DataFrame) -> DataFrame:
     label = T.entry_label(F.col("content"), F.col("comment"))
     moving = label.isin("boundary", "supplement", "dynamic")
     rows = entries.select("book_id", F.coalesce("ord", F.lit(0)).alias("ord"), moving.alias("moving"))
+    return bordered(rows, []).drop("n")
+
+
+def bordered(rows: DataFrame, more: list[Column]) -> DataFrame:
+    """rows (book_id, ord, moving) -> book_id, static_max, dynamic_min, n, static_first and further aggregates."""
     found = rows.groupBy("book_id").agg(
+        *more,
         F.coalesce(F.max(F.when(~F.col("moving"), F.col("ord"))), F.lit(-1)).alias("static_max"),
         F.coalesce(F.min(F.when(F.col("moving"), F.col("ord"))), F.count(F.lit(1))).alias("dynamic_min"),
         F.count(F.lit(1)).alias("n"),
     )
     bad = (F.col("static_max") >= 0) & (F.col("dynamic_min") < F.col("n")) & (F.col("static_max") > F.col("dynamic_min"))
-    return found.select("book_id", "static_max", "dynamic_min", (~bad).alias("static_first"))
+    return found.withColumn("static_first", ~bad)

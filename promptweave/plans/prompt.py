@@ -14,6 +14,7 @@ from promptweave.operators import entries as E
 #: Section of each placement; entries elsewhere are left out.
 RANKS = {0: 2, 1: 7, 5: 8, 6: 9, 4: 10, 2: 12, 3: 13}
 CHAT = 11
+# The titles of the sections.
 _TITLES = {
     1: "[1/12] System Prompt", 2: "[2/12] World Info (before) pos=0", 3: "[3/12] Persona Description", 4: "[4/12] Character Description",
     5: "[5/12] Character Personality", 6: "[6/12] Scenario", 7: "[7/12] World Info (after) pos=1", 8: "[8/12] Chat Examples pos=5 [top]",

@@ -33,13 +33,15 @@ def all_of(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 
 
-def totals(findings: DataFrame) -> DataFrame:
-    """A row per book with findings: errors, warnings, passed."""
+def totals(findings: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """A row per book: errors, warnings, passed.  books (book_id): those without findings have a row too."""
     found = findings.groupBy("book_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    if books is not None:
+        found = books.select("book_id").distinct().join(found, "book_id", "left").fillna(0)
     return found.withColumn("passed", F.col("errors") == 0)
 
 
-# Rules on one entry
+# Rules on one entry.  The codes and messages, here and below, are fixed values.
 
 
 def file_rules(parsed: DataFrame) -> DataFrame:
@@ -339,12 +341,24 @@ def _exploded(facts: DataFrame, rules: list[tuple[str, str, Column, Column]]) ->
     return found.select("book_id", F.col("f.code").alias("code"), F.col("f.level").alias("level"), F.lit("file").alias("scope"), F.lit(None).cast("bigint").alias("uid"), F.col("f.message").alias("message"))
 
 
+def artifact_facts(rows: DataFrame) -> DataFrame:
+    """A row per book: range and continuity of order and uid, and the border of static and dynamic entries; one
+    aggregation for all."""
+    label = T.entry_label(F.col("content"), F.col("comment"))
+    rows = rows.select("book_id", "ord", "uid", label.isin("boundary", "supplement", "dynamic").alias("moving"))
+    ranges = [x for c in ("ord", "uid") for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), E.continuity(c).alias(f"{c}_ok"))]
+    return E.bordered(rows, ranges)
+
+
+def residual_field() -> Column:
+    """The first temporary field of the steps that an entry still has."""
+    return F.get(F.filter(F.array(*map(F.lit, P.TEMP_FIELDS)), lambda f: F.map_contains_key(F.col("raw"), f)), F.lit(0))
+
+
 def check_artifact(entries: DataFrame) -> DataFrame:
     """P1, P2, P3 and P5 of a step's result.  Books without entries have no rows here; see missing_books."""
-    rows = E.complete(entries)
-    order, uid = (rows.groupBy("book_id").agg(F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), F.count(F.lit(1)).alias(f"{c}_n"), E.continuity(c).alias(f"{c}_ok")) for c in ("ord", "uid"))
-    facts = order.join(uid, "book_id").join(E.frontier(rows), "book_id")
-    lo, hi, n = F.col("ord_lo"), F.col("ord_hi"), F.col("ord_n")
+    facts = artifact_facts(E.complete(entries))
+    lo, hi, n = F.col("ord_lo"), F.col("ord_hi"), F.col("n")
     ends_bad = (lo != 0) | (hi != n - 1)
     said = F.when(ends_bad, _said("order not continuous: range ", lo, "..", hi, ", expected 0..", n - 1)).otherwise("order not continuous")
     found = _exploded(facts, [
@@ -354,8 +368,7 @@ def check_artifact(entries: DataFrame) -> DataFrame:
     ])
     if "raw" not in entries.columns:
         return found
-    first = F.get(F.filter(F.array(*map(F.lit, P.TEMP_FIELDS)), lambda f: F.map_contains_key(F.col("raw"), f)), F.lit(0))
-    left = entries.withColumn("_f", first).filter("_f is not null")
+    left = entries.withColumn("_f", residual_field()).filter("_f is not null")
     return found.unionByName(finding(left, "P3", "warning", "entry", _said("temporary field '", F.col("_f"), "' found"), F.col("uid")))
 
 
@@ -371,10 +384,39 @@ def check_chain(analysis: DataFrame, split: DataFrame, reordered: DataFrame, mer
     if backups is not None:
         rows = rows.unionByName(backups.select("book_id", F.lit("backup").alias("step"), F.lit(1).cast("bigint").alias("n")))
     facts = rows.groupBy("book_id").agg(*[F.max(F.when(F.col("step") == k, F.col("n"))).alias(k) for k in (*names, "backup")])
-    rules = [("CH1", "error", F.col(k).isNull(), F.lit(f"{k} is missing")) for k in names]
-    for a, b, sign in (("split", "analysis", "<"), ("reordered", "split", "<"), ("merged", "reordered", ">")):
-        bad = F.col(a) < F.col(b) if sign == "<" else F.col(a) > F.col(b)
-        rules.append(("CH2", "warning", bad, _said(f"{a} (", F.col(a), f") {sign} {b} (", F.col(b), ")")))
+    rules = [("CH1", "error", F.col(k).isNull(), F.lit(f"{k} is missing")) for k in names] + _count_rules()
     if backups is not None:
         rules.append(("CH3", "warning", F.col("backup").isNull(), F.lit("no backup file found")))
     return _exploded(facts, rules)
+
+
+def _count_rules() -> list[tuple[str, str, Column, Column]]:
+    rules = []
+    for a, b, sign in (("split", "analysis", "<"), ("reordered", "split", "<"), ("merged", "reordered", ">")):
+        bad = F.col(a) < F.col(b) if sign == "<" else F.col(a) > F.col(b)
+        rules.append(("CH2", "warning", bad, _said(f"{a} (", F.col(a), f") {sign} {b} (", F.col(b), ")")))
+    return rules
+
+
+def check_files(missing: DataFrame, counts: DataFrame, backups: DataFrame, names: DataFrame) -> DataFrame:
+    """CH1 to CH3 on chains of files, as `chain_of_files` lists them: stem, code, level, scope, uid, message.  A chain
+    that lacks a file has CH1 findings only."""
+    whole = names.select("stem").distinct().join(missing, "stem", "left_anti")
+    facts = whole.join(counts.groupBy("stem").agg(*[F.max(F.when(F.col("step") == k, F.col("n"))).alias(k) for k in ("analysis", "split", "reordered", "merged")]), "stem")
+    absent = missing.select(F.col("stem").alias("book_id"), F.concat(F.lit("missing: "), "name").alias("m"))
+    bare = whole.join(backups, "stem", "left_anti").select(F.col("stem").alias("book_id"))
+    found = [finding(absent, "CH1", "error", "file", F.col("m")), _exploded(facts.withColumnRenamed("stem", "book_id"), _count_rules()), finding(bare, "CH3", "warning", "file", F.lit("no backup file found"))]
+    return all_of(found).withColumnRenamed("book_id", "stem")
+
+
+def quarantine(entries: DataFrame) -> DataFrame:
+    """Entries that the steps take otherwise than they stand: Q1 a code block whose braces are out of all proportion, Q2
+    and Q3 an order or position that is null or missing and gets its default.  One pass, row by row."""
+    blocks = F.when(F.contains("content", F.lit("<%")), B.blocks_of(F.col("content")))
+    given = {c: entries[c].isNull() if c in entries.columns else F.lit(True) for c in ("ord", "position")}
+    bare = entries.select(*[v.alias(f"_no_{c}") for c, v in given.items()], "*")
+    rows = E.complete(bare).withColumn("_bad", F.coalesce(B.bad_braces(blocks), F.lit(False)))
+    told = [("Q1", "_bad", "code block braces out of proportion"), ("Q2", "_no_ord", "order is null, 100 is taken"), ("Q3", "_no_position", "position is null, 0 is taken")]
+    said = [F.when(F.col(c), F.struct(F.lit(code).alias("code"), F.lit(m).alias("message"))) for code, c, m in told]
+    found = rows.select("book_id", "uid", F.explode(F.array_compact(F.array(*said))).alias("f"))
+    return found.select("book_id", F.col("f.code").alias("code"), F.lit("warning").alias("level"), F.lit("entry").alias("scope"), "uid", F.col("f.message").alias("message"))

@@ -5,6 +5,7 @@ Order is a column (rn, seq, nth) where it matters; lists are joined to strings;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,9 @@ from promptweave.functions import tags as G
 from promptweave.functions import text as T
 from promptweave.operators import boundaries as D
 from promptweave.operators import entries as E
-from promptweave.plans import lineage, listing, pipeline, prompt, validate
-from promptweave.sources import books
+from promptweave.plans import lineage, listing, pipeline, prompt, reports, validate
+from promptweave.sources import artifacts, books
+from promptweave.tables import hadoop, shared_folder
 from promptweave.views import entries_view, flawed_view, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +258,17 @@ def reorder_full(spark, sf_dir):
     return shown(pipeline.reorder(entries_view(spark, sf_dir)))
 
 
+_ONE_BOOK = "one_book AS (SELECT * REPLACE (CAST(0 AS BIGINT) AS book_id, uid * 8 + book_id AS seq, uid * 8 + book_id AS uid) FROM full_entries)"
+
+
+@query(f"SELECT {O.SHOWN} FROM re_out", with_full(f"{_ONE_BOOK}, {O.reorder_ctes('one_book')}"))
+def reorder_one_book(spark, sf_dir):
+    """All entries as one book, ordered by ranges over all tasks."""
+    at = F.col("uid") * 8 + F.col("book_id")
+    rows = entries_view(spark, sf_dir).withColumns({"seq": at, "uid": at, "book_id": F.lit(0).cast("bigint")})
+    return shown(pipeline.reorder(rows, ranges=True))
+
+
 @query(f"SELECT {O.SHOWN} FROM me_out", with_full(O.merge_ctes("full_entries")))
 def merge_static(spark, sf_dir):
     return shown(pipeline.merge(entries_view(spark, sf_dir)))
@@ -344,6 +357,18 @@ def query_table(spark, sf_dir):
     return listing.query_table(listing.query(entries_view(spark, sf_dir))).withColumn("line", F.translate("line", "✓✗", "xx"))
 
 
+_TOTAL_LINE = """SELECT book_id, 9 AS part, CAST(1 AS BIGINT) AS rn, 'Total: ' || sum(n) || ' entries (' || string_agg(label || '=' || n, ', ' ORDER BY label) || ')' AS line FROM (SELECT book_id, label, count(*) AS n FROM qry GROUP BY ALL) GROUP BY book_id"""
+_HEADS = f"""SELECT book_id, 0 AS part, CAST(0 AS BIGINT) AS rn, {O.q(reports.QUERY_TABLE)} AS line FROM books UNION ALL SELECT book_id, 0, 1, repeat('─', 100) FROM books UNION ALL SELECT book_id, 9, 0, repeat('─', 100) FROM books"""
+
+
+@query(f"""{_HEADS} UNION ALL {_TOTAL_LINE}
+  UNION ALL SELECT book_id, 1, rn, printf('%4s  %5s  %3s  %5s  %10s  %6s  %4s  %4s  %s', CAST(rn AS VARCHAR), CAST(ord AS VARCHAR), CAST(position AS VARCHAR), {_NONE.format('depth')}, label, 'x', 'x', CAST(uid AS VARCHAR), comment) FROM qry""",
+       with_full(_found("ord BETWEEN 100 AND 300") + ", books AS (SELECT DISTINCT book_id FROM full_entries)"))
+def query_report(spark, sf_dir):
+    """A query's whole report: head, entries, totals."""
+    return reports.query_report(entries_view(spark, sf_dir), order_range=(100, 300)).withColumn("line", F.translate("line", "✓✗", "xx"))
+
+
 _KINDS = ", ".join(f"count(*) FILTER (label = '{k}') AS n_{k}" for k in ("static", "dynamic", "boundary", "supplement", "merged"))
 _SUMMARY = f"""SELECT book_id, count(*) AS total, {_KINDS}, min(ord) AS min_ord, max(ord) AS max_ord, min(ord) = 0 AND max(ord) = count(*) - 1 AND count(DISTINCT ord) = count(*) AS ord_continuous,
   min(uid) AS min_uid, max(uid) AS max_uid, min(uid) = 0 AND max(uid) = count(*) - 1 AND count(DISTINCT uid) = count(*) AS uid_continuous FROM (SELECT *, {O.label()} AS label FROM {{}}) GROUP BY book_id"""
@@ -517,12 +542,32 @@ def validate_all(spark, sf_dir):
     return validate.validate(flawed_view(spark, sf_dir), strict=True)
 
 
-_TOTALS = f"SELECT book_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'error') = 0 AS passed FROM ({_ALL}) GROUP BY book_id"
+_TOTALS = f"""SELECT book_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'error') = 0 AS passed
+  FROM (SELECT book_id, NULL AS level FROM (SELECT DISTINCT book_id FROM full_entries) UNION ALL SELECT book_id, level FROM (SELECT * FROM ({_ALL}) WHERE book_id % 4 <> 1)) GROUP BY book_id"""
 
 
 @query(_TOTALS, with_flawed(f"{_MD}, {_TEXTS}, {O.blocks_cte('txt')}, {O.ranges_cte()}, {_TAGGED}"))
 def val_totals(spark, sf_dir):
-    return validate.totals(validate.validate(flawed_view(spark, sf_dir), strict=True))
+    """Totals of all books, of which a quarter counts as mended."""
+    rows = flawed_view(spark, sf_dir)
+    return validate.totals(validate.validate(rows, strict=True).filter("book_id % 4 <> 1"), rows.select("book_id"))
+
+
+_QUARANTINED = " UNION ALL ".join([
+    _finding("Q1", "uid", "'code block braces out of proportion'", "full_entries WHERE uid % 23 = 5"),
+    _finding("Q2", "uid", "'order is null, 100 is taken'", "full_entries WHERE uid % 19 = 3"),
+    _finding("Q3", "uid", "'position is null, 0 is taken'", "full_entries WHERE uid % 29 = 7"),
+])
+
+
+@query(_QUARANTINED, with_full("one AS (SELECT 1)"))
+def val_quarantine(spark, sf_dir):
+    """Q1 to Q3 on entries with planted braces and nulls."""
+    rows = entries_view(spark, sf_dir).withColumns({
+        "content": F.when(F.col("uid") % 23 == 5, F.concat(F.lit("<% " + "{" * 25 + " %>\n"), "content")).otherwise(F.col("content")),
+        "ord": F.when(F.col("uid") % 19 != 3, F.col("ord")), "position": F.when(F.col("uid") % 29 != 7, F.col("position")),
+    })
+    return validate.quarantine(rows)
 
 
 _FACTS = f"""facts AS (SELECT book_id, min(ord) AS lo, max(ord) AS hi, count(*) AS n, min(ord) = 0 AND max(ord) = count(*) - 1 AND count(DISTINCT ord) = count(*) AS oc,
@@ -547,13 +592,40 @@ _CHAIN = " UNION ALL ".join([
 ])
 
 
-@query(_CHAIN, with_full(f"{O.split_ctes()}, chain AS (SELECT book_id, (SELECT count(*) FROM full_entries f WHERE f.book_id = n.book_id) AS a, count(*) AS s FROM split_out n GROUP BY book_id)"))
+@query(_CHAIN, with_full(f"{O.split_ctes()}, chain AS (SELECT book_id, (SELECT count(*) FROM full_entries f WHERE f.book_id = n.book_id) AS a, count(*) FILTER (book_id % 2 = 0 OR seq % 3 = 0) AS s FROM split_out n GROUP BY book_id)"))
 def val_chain(spark, sf_dir):
+    """The chain of every book, of which the split one lost entries in half of the books and the reordered one is not there."""
     rows = entries_view(spark, sf_dir)
-    split = pipeline.split(rows)
+    split = pipeline.split(rows).filter("book_id % 2 = 0 or seq % 3 = 0")
     return validate.check_chain(rows, split, rows.limit(0), split, rows.select("book_id").filter("book_id > 3").distinct())
 
 
+_CHAIN_FILES = """n AS (SELECT book_id, count(*) AS a, count(*) FILTER (uid % 3 = 0) AS s FROM entries GROUP BY book_id)"""
+_CHAINED = " UNION ALL ".join([
+    "SELECT 'book' || book_id AS stem, 'CH1' AS code, 'error' AS level, 'missing: book' || book_id || '_reordered.json' AS message FROM n WHERE book_id = 2",
+    "SELECT 'book' || book_id, 'CH2', 'warning', 'split (' || s || ') < analysis (' || a || ')' FROM n WHERE book_id % 2 = 1",
+    "SELECT 'book' || book_id, 'CH3', 'warning', 'no backup file found' FROM n WHERE book_id > 4",
+])
+
+
+@query(_CHAINED, f"{O.ENTRIES}, {_CHAIN_FILES}")
+def chain_files(spark, sf_dir):
+    """Books written as files of each step and checked as files: some lost entries, one has no reordered file."""
+    folder = f"{shared_folder(spark)}/promptweave-chain-{uuid.uuid4().hex}"
+    system, place = hadoop(spark, folder)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    rows = full(spark, sf_dir)
+    names = rows.select("book_id").distinct().withColumn("stem", F.concat(F.lit("book"), F.col("book_id").cast("string")))
+    lost = rows.filter("book_id % 2 = 0 or uid % 3 = 0")
+    for step, df, own in (("analysis", rows, names), ("split", lost, names), ("reordered", lost, names.filter("book_id <> 2")), ("merged", lost, names)):
+        artifacts.write_books(df, own, folder, step)
+    backups = names.filter("book_id <= 4").select(F.concat("stem", F.lit(".backup_1.json")).alias("name"), F.lit("{}").alias("value"))
+    artifacts.write_files(backups, folder)
+    missing, counts, kept = artifacts.chain_of_files(spark, folder)
+    return validate.check_files(missing, counts, kept, names).select("stem", "code", "level", "message")
+
+
 @query(_finding("P3", "uid", "'temporary field ''_pair_id'' found'", "full_entries WHERE seq % 9 = 4"), with_flawed("one AS (SELECT 1)"))
 def val_residue(spark, sf_dir):
     """P3 on entries that carry a field of the steps."""
@@ -691,6 +763,21 @@ def lineage_report(spark, sf_dir):
     return lineage.report_lines(*_both(spark, sf_dir))
 
 
+@query(f"""SELECT o.book_id, count(*) AS n_before, (SELECT count(*) FROM n WHERE n.book_id = o.book_id) AS n_after,
+  string_agg(o.uid || ':' || o.comment || ':' || t.type || ':' || t.targets, ';' ORDER BY o.rn) AS matches, (SELECT string_agg(uid || ':' || comment, ';' ORDER BY rn) FROM n WHERE n.book_id = o.book_id AND kind = 'created') AS created
+  FROM o JOIN (SELECT book_id, orig_rn, min(type) AS type, coalesce(string_agg(opt_uid || ' ' || role, ',' ORDER BY role = 'merged', opt_rn), '') AS targets FROM fwd GROUP BY ALL) t ON t.book_id = o.book_id AND t.orig_rn = o.rn GROUP BY o.book_id""", LINEAGE)
+def diff_document(spark, sf_dir):
+    """The JSON document of a rearrangement, read back."""
+    told = reports.diff_document(*_both(spark, sf_dir), ("old", "new"))
+    kind = "struct<entry_count:struct<before:bigint,after:bigint>,matches:array<struct<uid:bigint,comment:string,type:string,targets:array<struct<uid:bigint,role:string>>>>,created:array<struct<uid:bigint,comment:string,type:string>>>"
+    rows = told.select("book_id", F.from_json("document", kind).alias("d"))
+    target = lambda t: F.concat_ws(" ", t["uid"].cast("string"), t["role"])
+    match = lambda m: F.concat_ws(":", m["uid"].cast("string"), m["comment"], m["type"], F.array_join(F.transform(m["targets"], target), ","))
+    made = lambda c: F.concat_ws(":", c["uid"].cast("string"), c["comment"])
+    created = F.when(F.size("d.created") > 0, F.array_join(F.transform("d.created", made), ";"))
+    return rows.select("book_id", F.col("d.entry_count.before").alias("n_before"), F.col("d.entry_count.after").alias("n_after"), F.array_join(F.transform("d.matches", match), ";").alias("matches"), created.alias("created"))
+
+
 # Files
 
 # Fixed values, stated apart from the writer's: a new entry's fields in file order.
@@ -702,12 +789,16 @@ groupOverride false; groupWeight 100; outletName ""; automationId ""; vectorized
 characterFilter {"isExclude":false,"names":[],"tags":[]}; displayIndex null"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {O.q(k)}, {O.q(v)})" for i, (k, v) in enumerate(x.strip().split(" ", 1) for x in _FIELDS.split(";"))) + ") AS f(place, field, value)", "")
-def default_fields(spark, sf_dir):
-    """Fields of a new entry, as the writer fills them in."""
-    made = spark.range(1).select(F.from_json(F.lit(books.default_json()), "map<string,variant>").alias("f"))
-    return made.select(F.posexplode("f").alias("place", "field", "v")).select("place", "field", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
+_DEFAULTS = "(VALUES " + ", ".join(f"({i}, {O.q(k)}, {O.q(v)})" for i, (k, v) in enumerate(x.strip().split(" ", 1) for x in _FIELDS.split(";"))) + ") AS f(place, field, value)"
+
 
+@query(f"""SELECT book_id, CAST(place AS INT) AS place, field, CASE field WHEN 'uid' THEN CAST(seq AS VARCHAR) WHEN 'comment' THEN '"' || comment || '"' ELSE value END AS value
+  FROM entries, {_DEFAULTS} WHERE content = ''""")
+def default_fields(spark, sf_dir):
+    """Fields of entries that give but a uid and a comment, as the writer fills them in."""
+    rows = entries_view(spark, sf_dir).filter("content = ''").select("book_id", "seq", "uid", "comment", F.lit(None).cast("map<string,variant>").alias("raw"))
+    made = rows.select("book_id", F.from_json(books.new_entry_json(rows), "map<string,variant>").alias("f"))
+    return made.select("book_id", F.posexplode("f").alias("place", "field", "v")).select("book_id", "place", "field", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
 
 
 @query("SELECT book_id, seq, uid, ord, position, depth, constant, disable, comment, md5(content) AS content_md5 FROM entries")

@@ -78,6 +78,14 @@ def entry_json(entries: DataFrame) -> Column:
     return F.to_json(F.map_concat(changed, added))
 
 
+def new_entry_json(entries: DataFrame) -> Column:
+    """An entry as JSON with every field: those that its table has, the defaults of the others."""
+    given = {field_of(c): F.col(c) for c in _TYPED if c in entries.columns}
+    new = F.from_json(F.to_json(F.struct(*[v.alias(k) for k, v in given.items()])), "map<string,variant>")
+    own = F.from_json(F.lit(default_json()), "map<string,variant>")
+    return F.to_json(F.transform_values(own, lambda k, v: F.coalesce(F.element_at(new, k), v)))
+
+
 def default_json() -> str:
     return json.dumps(default_fields(), ensure_ascii=False)
 

@@ -19,20 +19,20 @@ SELECT book_id, uid, uid AS seq,
   CAST(CASE WHEN uid % 11 = 0 THEN NULL WHEN uid % 5 = 0 THEN 99 WHEN uid % 5 = 1 THEN 10 ELSE uid % 10 END AS INT) AS depth,
   uid % 9 = 0 AS constant, uid % 13 = 12 AS disable,
   CASE k
-    WHEN 0 THEN '<%= getvar("hp") %>'
-    WHEN 1 THEN concat('{{getvar::mp}} ', t)
+    WHEN 0 THEN '<%= getvar("tide") %>'
+    WHEN 1 THEN concat('{{getvar::wind}} ', t)
     WHEN 2 THEN concat('<角色>', chr(10), '## 介绍', chr(10), t, chr(10), '## 状态', chr(10), 'lv <%- getvar("lv") %>', chr(10), '</角色>')
-    WHEN 3 THEN '<暗部>'
-    WHEN 4 THEN '</暗部>'
-    WHEN 5 THEN '# 暗部开始'
-    WHEN 6 THEN '# 暗部结束'
+    WHEN 3 THEN '<灯塔>'
+    WHEN 4 THEN '</灯塔>'
+    WHEN 5 THEN '# 夜航开始'
+    WHEN 6 THEN '# 夜航结束'
     WHEN 7 THEN concat('{{char}} ', t)
     WHEN 8 THEN concat('<% if (variables.stage>2) { %>', chr(10), t, chr(10), '<% } else { %>', chr(10), 'B', chr(10), '<% } %>')
     WHEN 9 THEN concat('## 标题', chr(10), t, chr(10), '<% if (x) { %>', chr(10), 'y<% getvar("y") %>')
     WHEN 10 THEN concat('<A>', chr(10), '# 静态', chr(10), t, chr(10), '# 动态', chr(10), 'z <%= v %>', chr(10), '</A>', chr(10), 'tail')
     WHEN 11 THEN concat('@@preprocessing', chr(10), t, ' {{time}}')
     WHEN 12 THEN ''
-    WHEN 13 THEN '{{if a}}x{{/if}}'
+    WHEN 13 THEN '{{if calm}}the sea rests{{/if}}'
     ELSE t END AS content
 FROM v
 """
