@@ -171,32 +171,47 @@ def mergeable(entries: DataFrame) -> Column:
 
 def merge(entries: DataFrame, ranges: bool | None = None) -> DataFrame:
     """Static entries of one position, constancy and depth become one: contents joined in order by blank lines, fields
-    but position, constant, depth and role at their defaults.  Entries alone in their group stay as they are."""
-    rows = E.complete(entries)
-    rows = rows.withColumn("_can", mergeable(rows)).withColumn("_alone", F.when(~F.col("_can"), F.col("seq")))
-    keys = ["book_id", "_can", "_alone", "position", "constant", "depth"]
-    rest = [c for c in rows.columns if c not in (*keys, "ord", "seq")]
-    groups = rows.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("ord", "seq", *rest)), _by_order).alias("_all"))
-    low, high, several = F.get("_all", F.lit(0)), F.element_at("_all", -1), F.size("_all") > 1
+    but position, constant, depth and role at their defaults.  Entries alone in their group stay as they are.
+
+    Only contents are gathered; of the first entry's fields the least by order is kept, which combines on the map side.
+    With ranges (None: where a book is too large for one task) a group is laid out in ranges over all tasks, each joins
+    its own part of the text, and the group joins one text a range.  A merged text is one value, of 2 GB at most.
+    """
+    rows = E.complete(entries).withColumn("_can", mergeable(E.complete(entries)))
+    if ranges is None:
+        ranges = by_ranges(E.complete(entries))
+    group = ["book_id", "position", "constant", "depth"]
+    fields = [c for c in rows.columns if c not in (*group, "ord", "seq", "content", "_can")]
+    low = F.struct("ord", "seq", *fields).alias("low")
+    if ranges:
+        rows = written(rows, "unmerged")
+        can = in_ranges(rows.filter("_can"), [F.col(c) for c in (*group[1:], "ord", "seq")], "merge-sorted")
+        facts = [F.min_by(low, "_at").alias("low"), F.max("ord").alias("high"), F.min("seq").alias("seen"), F.count(F.lit(1)).alias("n")]
+        parts = can.groupBy(*group, "_range").agg(_joined_by("_at", "content").alias("part"), *facts)
+        groups = parts.groupBy(group).agg(_joined_by("_range", "part").alias("content"), F.min_by("low", "_range").alias("low"), F.max("high").alias("high"), F.min("seen").alias("seen"), F.sum("n").alias("n"))
+        alone = rows.filter("not _can").select(*group, "content", low, F.col("ord").alias("high"), F.col("seq").alias("seen"), F.lit(1).cast("bigint").alias("n"))
+        groups = groups.withColumn("_batch", F.lit(0)).unionByName(alone.withColumn("_batch", F.lit(1)))
+    else:
+        at = F.struct("ord", "seq")
+        keys = [*group, "_can", F.when(~F.col("_can"), F.col("seq")).alias("_alone")]
+        facts = [F.min_by(low, at).alias("low"), F.max("ord").alias("high"), F.min("seq").alias("seen"), F.count(F.lit(1)).alias("n")]
+        groups = rows.groupBy(keys).agg(_joined_by(at, "content").alias("content"), *facts).withColumn("_batch", F.when(F.col("_can"), 0).otherwise(1))
+    several = F.col("n") > 1
     # What a merged entry has besides the fields of its group.
     merged = {
-        "content": F.array_join(F.transform("_all", lambda x: x["content"]), "\n\n"),
-        "comment": F.concat(F.lit(P.MERGED), low["ord"].cast("string"), F.lit("-"), high["ord"].cast("string")),
-        "role": low["role"], "disable": F.lit(False), "key": F.array().cast("array<string>"), "probability": F.lit(100), "use_probability": F.lit(False),
+        "comment": F.concat(F.lit(P.MERGED), F.col("low.ord").cast("string"), F.lit("-"), F.col("high").cast("string")),
+        "role": F.col("low.role"), "disable": F.lit(False), "key": F.array().cast("array<string>"), "probability": F.lit(100), "use_probability": F.lit(False),
         "sticky": F.lit(0), "cooldown": F.lit(0), "delay": F.lit(0),
     }
-    out = [F.when(several, merged[c]).otherwise(low[c]).alias(c) if c in merged else F.when(~several, low[c]).alias(c) for c in rest]
-    seen = F.array_min(F.transform("_all", lambda x: x["seq"]))
-    found = groups.select("book_id", "position", "constant", "depth", low["ord"].alias("ord"), *out, F.when(F.col("_can"), 0).otherwise(1).alias("_batch"), seen.alias("_seen"))
-    if ranges is None:
-        ranges = by_ranges(E.complete(entries))
-    found = written(found, "merged") if ranges else found
+    out = [F.when(several, merged[c]).otherwise(F.col(f"low.{c}")).alias(c) if c in merged else F.when(~several, F.col(f"low.{c}")).alias(c) for c in fields]
+    found = groups.select(*group, F.col("low.ord").alias("ord"), "content", *out, "_batch", F.col("seen").alias("_seen"))
     return E.renumbered(E.ranked(found, [F.col("ord"), F.col("_batch"), F.col("_seen")], ranges=ranges)).drop("_batch", "_seen")
 
 
-def _by_order(a: Column, b: Column) -> Column:
-    before = (a["ord"] < b["ord"]) | ((a["ord"] == b["ord"]) & (a["seq"] < b["seq"]))
-    return F.when(before, -1).otherwise(1)
+def _joined_by(place: Column | str, text: str) -> Column:
+    """Aggregate: the texts in order, joined by blank lines."""
+    listed = F.array_sort(F.collect_list(F.struct(place if isinstance(place, str) else place.alias("at"), F.col(text).alias("text"))))
+    return F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n")
 
 
 def pipeline(entries: DataFrame, wrapper_name: str = P.WRAPPER_NAME, ranges: bool | None = None) -> DataFrame:
