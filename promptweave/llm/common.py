@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -84,6 +85,16 @@ def dropped(*tables: DataFrame | None) -> None:
             _delete(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark deletes them once the driver's garbage is collected, which in a long chain of jobs may be hours later; until
+    then each job's shuffles stand on the disk beside those of all jobs before it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Delete the files of all saved tables: for long-lived sessions, once the results are collected or written."""
     for path in list(_PATHS):

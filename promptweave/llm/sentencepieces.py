@@ -41,6 +41,8 @@ CHUNK = 16_384
 SHORT = 200
 #: Chunks whose matrices are multiplied in one task.
 FAN = 256
+#: Texts encoded in one call, and words whose weights and ids a worker keeps.
+ENCODED_ROWS, WORDS_KEPT = 64, 1 << 16
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Character that no text can hold: the start of a document.
@@ -64,8 +66,8 @@ class Model:
         #: No piece has SPACE behind another character: then no token crosses a place where a word begins.
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.bytes = {b: lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
-        self.weight = lru_cache(1 << 18)(self._weight)
-        self.word_ids = lru_cache(1 << 18)(self._word_ids)
+        self.weight = lru_cache(WORDS_KEPT)(self._weight)
+        self.word_ids = lru_cache(WORDS_KEPT)(self._word_ids)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored pair first, of equal ones the leftmost."""
@@ -296,7 +298,8 @@ def _schema(with_ids: bool) -> str:
 def _encode_small(shared, kind: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value, kind)
-        for batch in batches:
+        # Lists of ids take several times their texts' memory, so few texts are encoded at once.
+        for batch in (b.slice(i, ENCODED_ROWS) for b in batches for i in range(0, max(b.num_rows, 1), ENCODED_ROWS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = model.lib.encode(texts, num_threads=1) if texts else []
             yield _columns(batch.column("doc_id"), texts, ids, model.lib.decode(ids, num_threads=1) if ids else [], with_ids)
