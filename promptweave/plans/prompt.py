@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from promptweave.functions import patterns as P
 from promptweave.functions import text as T
 from promptweave.operators import entries as E
+from promptweave.operators.ordered import in_ranges
+from promptweave.tables import written
 
 #: Section of each placement; entries elsewhere are left out.
 RANKS = {0: 2, 1: 7, 5: 8, 6: 9, 4: 10, 2: 12, 3: 13}
@@ -106,8 +108,19 @@ def _comments(placed: DataFrame, chat: DataFrame, books: DataFrame, by_depth: Co
     ]
 
 
+def _joined(place: str, text: str) -> Column:
+    """Aggregate: the texts in order, joined by line ends; null without any."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), F.col(text).alias("text"))))
+    return F.when(F.count(text) > 0, F.array_join(F.transform(listed, lambda x: x["text"]), "\n"))
+
+
 def prompt_text(parts: DataFrame) -> DataFrame:
-    """book_id, text: the sections of a book joined by line ends."""
+    """book_id, text: the sections of a book joined by line ends.
+
+    Parts are laid out in ranges over all tasks and each range is joined by itself, so a book's own task holds a text a
+    range and the whole, not every part.  The whole is one value, of 2 GB at most.
+    """
     keys = ["section", "part_group", "part_kind", "part_rn", "part_line"]
-    listed = parts.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(*keys, "text"))).alias("all"))
-    return listed.select("book_id", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"))
+    laid = in_ranges(written(parts, "prompt-parts"), [F.col(k) for k in keys], "prompt-sorted")
+    pieces = laid.groupBy("book_id", "_range").agg(_joined("_at", "text").alias("piece"))
+    return pieces.groupBy("book_id").agg(F.coalesce(_joined("_range", "piece"), F.lit("")).alias("text"))
