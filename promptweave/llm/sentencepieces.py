@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,9 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 #: Longest word whose path is sought depth first.
 SHORT = 200
+#: Words merged side by side.
+MERGED = 1024
+_NEVER = np.iinfo(np.int64).max
 #: Chunks whose matrices are multiplied in one task.
 FAN = 256
 #: Texts encoded in one call, and words whose weights and ids a worker keeps.
@@ -68,6 +72,7 @@ class Model:
         self.bytes = {b: lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.weight = lru_cache(WORDS_KEPT)(self._weight)
         self.word_ids = lru_cache(WORDS_KEPT)(self._word_ids)
+        self.merges, self.kept = None, {}  # both filled by ids_of_words
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored pair first, of equal ones the leftmost."""
@@ -96,6 +101,19 @@ class Model:
                 offer(before[i])
         return [p for p in part if p is not None]
 
+    def ids_of_words(self, words: list[str]) -> list[list[int]]:
+        """`word_ids` of many words of a BPE model: those not met before are merged side by side.
+
+        The path of weight 0 is the merge order's, so no other is tried; words of more than SHORT characters
+        are scanned one by one.
+        """
+        if len(self.kept) > 2 * WORDS_KEPT:
+            self.kept.clear()
+        if new := [w for w in dict.fromkeys(words) if w not in self.kept]:
+            self.merges = self.merges or Merges(self)
+            self.kept.update(zip(new, self.merges(new)))
+        return [self.kept[w] for w in words]
+
     def _weight(self, a: str, b: str) -> float | None:
         """Weight of the step from a to b; None: no such step."""
         if self.kind == "unigram":
@@ -169,6 +187,80 @@ class Model:
         return path if on(0, _NONE) else None
 
 
+class Merges:
+    """BPE of many words at once: in each round every word makes its best merge, of equal ones the leftmost.
+
+    A symbol is a piece's id or, for a character that is no piece, its code point behind all ids.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model, ids, score = model, model.ids, model.scores
+        self.first = 1 + max(ids.values())
+        self.n = self.first + 0x110000
+        self.char = np.arange(self.first, self.n, dtype=np.int64)
+        for t, i in ids.items():
+            if len(t) == 1:
+                self.char[ord(t)] = i
+
+        def symbol(t: str) -> int | None:
+            return int(self.char[ord(t)]) if len(t) == 1 else ids.get(t)
+
+        made = {a * self.n + b: t for t in ids for k in range(1, len(t)) if (a := symbol(t[:k])) is not None and (b := symbol(t[k:])) is not None}
+        place = {x: i for i, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.pair = np.array(sorted(made), np.int64)
+        self.to = np.array([ids[made[k]] for k in self.pair.tolist()], np.int64)
+        self.rank = np.array([place[score[made[k]]] for k in self.pair.tolist()], np.int64)
+
+    def _looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of each merge; the rank is _NEVER where there is none."""
+        key = np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], _NEVER), self.to[at]
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words])
+        symbols = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = self.model.word_ids(words[i])
+        chosen = np.flatnonzero(sizes <= SHORT)
+        chosen = chosen[np.argsort(sizes[chosen], kind="stable")]
+        for k in range(0, len(chosen), MERGED):  # words of about one length share a table
+            own = chosen[k : k + MERGED]
+            col = np.arange(sizes[own[-1]])
+            part = np.where(col < sizes[own][:, None], symbols[np.minimum(starts[own][:, None] + col, len(symbols) - 1)], -1)
+            done = self._merged(part)
+            odd = (done >= self.first).any(1).tolist()
+            for i, row, n, o in zip(own.tolist(), done.tolist(), (done >= 0).sum(1).tolist(), odd):
+                out[i] = [y for x in row[:n] for y in ([x] if x < self.first else self.model.ids_of(chr(x - self.first)))] if o else row[:n]
+        return out
+
+    def _merged(self, part: np.ndarray) -> np.ndarray:
+        """part: the symbols of a word a row, -1 behind its end; the symbols left when no merge is."""
+        done, rows = part.copy(), np.arange(len(part))
+        rank, to = self._looked_up(part[:, :-1], part[:, 1:])
+        while rank.shape[1]:
+            best = rank.argmin(1)
+            left = np.flatnonzero(rank[np.arange(len(part)), best] != _NEVER)
+            if len(left) < len(part):
+                done[rows] = part
+                part, rank, to, rows, best = part[left], rank[left], to[left], rows[left], best[left]
+                if not len(left):
+                    break
+            k = np.arange(len(part))
+            part[k, best], made = to[k, best], best[:, None] < np.arange(part.shape[1])
+            for table, behind in ((part, -1), (rank, _NEVER), (to, 0)):
+                cut = made[:, : table.shape[1] - 1]
+                table[:, :-1] = np.where(cut, table[:, 1:], table[:, :-1])
+                table[k, -1] = behind
+            for side in (best - 1, best):  # the two pairs that the new piece is in
+                at = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
+                c = side[at]
+                rank[at, c], to[at, c] = self._looked_up(part[at, c], part[at, c + 1])
+        return done
+
+
 @lru_cache(2)
 def model_of(proto: bytes, kind: str) -> Model:
     """One model with its caches for all tasks of a worker."""
@@ -267,7 +359,7 @@ def backtrace(model: Model, left: str, body: str, right: str, start: State, goal
     if start[1] < first:
         head_end = max(model.spread(body[:first], start, first)[first].items(), key=lambda x: (x[1][0], x[0]))[0]
         head = _walk(model, body[:first], start, first, head_end)
-    middle = [i for word in _WORDS.findall(body, first, last) for i in model.word_ids(word)]
+    middle = list(chain.from_iterable(model.ids_of_words(_WORDS.findall(body, first, last))))
     tail = _walk(model, body[last:] + right, (_NONE, 0), n - last, (goal[0], goal[1] - last))
     return [i for t in head for i in model.ids_of(t)] + middle + [i for t in tail for i in model.ids_of(t)]
 
