@@ -16,6 +16,7 @@ ARROW_ROWS = 512
 
 #: White space of every operator here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\f\r"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, read_table, text_or_empty
+from .common import SPACES, read_table, text_or_empty
 
 
 _SHIFT, _STEP = 2**63, 10**20
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE_CLASS}+", "")
+    """text without white space.  Bytes are replaced in place of a pattern, which would copy each text to UTF-16 and back."""
+    return reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit("")), SPACES, text)
 
 
 def _sha(name: str) -> Column:

@@ -1,10 +1,11 @@
-"""op6: the words of a giant text are merged side by side, not scanned one by one."""
+"""What the check of round 3 found: op6 scanned words of giant texts one by one, op8 took too much memory."""
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from promptweave.llm import sentencepieces
+from promptweave.llm import common, exact_dedup, sentencepieces
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,12 @@ def test_chunks_of_plain_words_are_not_scanned(model):
     states = sentencepieces.border_states([sentencepieces.transfer(model, "", text, "")])
     assert sentencepieces.backtrace(model, "", text, "", *states) == model.lib.encode(text[1:])
     assert not scanned
+
+
+def test_white_space_goes_without_a_pattern(spark):
+    """op8: no text is copied to UTF-16 and back, and what is white space stays the same."""
+    texts = ["", " ", "a b\tc\nd\x0be\x0cf\rg  h", "   é😀\x85\x1c\x1f x\x00 y", "\r\n" * 50 + "中 文", " ▁ "]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select("text", exact_dedup.normalised(F.col("text")).alias("body"), F.regexp_replace("text", f"{common.SPACE_CLASS}+", "").alias("want"))
+    assert all(r.body == r.want for r in found.collect())
+    assert "regexp" not in found.select("body")._jdf.queryExecution().optimizedPlan().toString().lower()
